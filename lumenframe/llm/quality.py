@@ -5,22 +5,28 @@ document that loses too much of its text that way is rejected.
 
 Rules for a line (a line without a word is layout, passes and weighs nothing):
 
-* punctuation: a line of ``min_prose_words`` words or more holds no sentence mark
-  at all, or over ``max_symbol_percent`` percent of its characters are symbols;
-* navigation: ``min_separators`` stand-alone separators (``|``, arrows, bullets)
-  or more, and at least one for every ``words_per_separator`` words;
-* boilerplate: a short line with one of the phrases of BOILERPLATE.
-
-Document rules: under ``min_words`` words; over ``max_repeat_percent`` percent of
+* punctuation: a line of ``MIN_PROSE_WORDS`` words or more holds no sentence mark
+  at all, or over ``MAX_SYMBOL_PERCENT`` percent of its characters are symbols;
+* navigation: ``MIN_SEPARATORS`` separators or more, and at least one for every
+  ``WORDS_PER_SEPARATOR`` words;
+* boilerplate: a line of at most ``MAX_BOILERPLATE_CHARS`` characters that holds one
+  of the phrases of BOILERPLATE.
+
+Document rules: under ``MIN_WORDS`` words; over ``MAX_REPEAT_PERCENT`` percent of
 the words inside 8-word windows that occur again; and the line verdict: failing
-lines hold over ``max_lost_percent`` percent of the characters in words.
+lines hold over ``MAX_LOST_PERCENT`` percent of the characters in words.
 
 Defined results: a null text counts as empty: all counts 0, base_failed true.
 Repeated rows are judged row by row. Other columns pass through untouched; names
 that this module computes replace columns of the same name. Windows are compared
-by a 64-bit hash of their eight words; two different windows of one text share a
-hash with a chance under 1e-10 for texts of 20,000 words.
+as strings to tell whether a text repeats any; inside a text that does, they are
+paired by a 64-bit hash.
 No row is moved: the plan has no exchange, so no key or source can be hot.
+
+Why it is written as it is: lambdas cost about a microsecond an element and Java's
+split by a pattern nearly as much a word, so nothing is done per word on the common
+path. The text is brought to single blanks, words are counted by lengths, and all
+8-word windows come from one pass of one pattern with a look-ahead.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import WORD, let, words_of
+from lumenframe.llm.common import WORD, let
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -38,12 +44,12 @@ MIN_PROSE_WORDS = 8
 MAX_SYMBOL_PERCENT = 15
 MIN_SEPARATORS = 3
 WORDS_PER_SEPARATOR = 4
-MAX_BOILERPLATE_WORDS = 30
+MAX_BOILERPLATE_CHARS = 240
 
 SYMBOLS = r"[#*$%&|<>]"
-LINE_SYMBOLS = r"[#*$%&|<>{}\[\]\\~^=+_]"
 SENTENCE_MARK = r"[.!?…。！？:;,]"
-SEPARATOR = r"(?:^|[\x20\x09-\x0D])[|›»→>•·/](?=$|[\x20\x09-\x0D])"
+SEPARATORS = "|>»•·"
+SEPARATOR = f"[{SEPARATORS}]"
 BOILERPLATE = (
     "all rights reserved",
     "accept cookies",
@@ -64,97 +70,111 @@ BOILERPLATE = (
     "skip to content",
     "back to top",
 )
+#: Eight words from a word's start; the match itself takes one word and its blank.
+GRAMS = r"(?=([^ ]++(?: [^ ]++){7}))[^ ]++ ?"
+
+
+def single_blanks(text: Column) -> Column:
+    """The words of a text joined by single blanks; rare white space is looked for first."""
+    rare = F.when(text.rlike(r"[\t\x0B\f\r]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    plain = F.trim(F.replace(rare, F.lit("\n"), F.lit(" ")))
+    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
+
+
+def _bare(line: Column) -> Column:
+    """Characters in words."""
+    return F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", ""))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line fails a rule; false for a line without a word."""
-    bare = F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", ""))
+def line_fails(line: Column, odd: Column) -> Column:
+    """Whether a line fails a rule; false for a line without a word. ``odd``: whether
+    the text holds a symbol or separator at all; without one those rules can't fail."""
     n_words = F.regexp_count(line, F.lit(WORD))
+    noisy = F.regexp_count(line, F.lit(SYMBOLS)) * 100 > _bare(line) * MAX_SYMBOL_PERCENT
     n_separators = F.regexp_count(line, F.lit(SEPARATOR))
-    symbols = F.regexp_count(line, F.lit(LINE_SYMBOLS))
-    unmarked = ~line.rlike(SENTENCE_MARK) & (n_words >= MIN_PROSE_WORDS)
-    noisy = symbols * 100 > bare * MAX_SYMBOL_PERCENT
     menu = (n_separators >= MIN_SEPARATORS) & (n_separators * WORDS_PER_SEPARATOR >= n_words)
-    canned = line.rlike("(?i)" + "|".join(BOILERPLATE)) & (n_words <= MAX_BOILERPLATE_WORDS)
-    return line.rlike(WORD) & (noisy | unmarked | menu | canned)
+    unmarked = ~line.rlike(SENTENCE_MARK) & (n_words >= MIN_PROSE_WORDS)
+    canned = (F.length(line) <= MAX_BOILERPLATE_CHARS) & F.lower(line).rlike("|".join(BOILERPLATE))
+    return (unmarked | canned | (odd & (noisy | menu))) & line.rlike(WORD)
 
 
-def repeated_words(words: Column) -> Column:
-    """How many words stand in an 8-word window that occurs twice or more."""
+def repeated_words(grams: Column) -> Column:
+    """How many words stand in a window that occurs twice or more. ``grams``: the
+    windows as strings, in order."""
 
-    def covered(grams: Column) -> Column:
-        def of_sorted(pairs: Column) -> Column:
-            same = F.transform(
-                pairs,
-                lambda x, j: F.when(
-                    (x["g"] == F.get(pairs, j - 1)["g"]) | (x["g"] == F.get(pairs, j + 1)["g"]), x["i"]
-                ),
-            )
-            starts = F.sort_array(F.filter(same, lambda i: i.isNotNull()))
-            return let(
-                starts,
-                lambda s: F.aggregate(
-                    F.zip_with(
-                        s,
-                        F.slice(s, 2, F.greatest(F.size(s), F.lit(1))),
-                        lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))),
-                    ),
-                    F.lit(0).cast("long"),
-                    lambda acc, x: acc + x,
+    def of_sorted(pairs: Column) -> Column:
+        same = F.transform(
+            pairs,
+            lambda x, j: F.when(
+                (x["g"] == F.get(pairs, j - 1)["g"]) | (x["g"] == F.get(pairs, j + 1)["g"]), x["i"]
+            ),
+        )
+        starts = F.sort_array(F.filter(same, lambda i: i.isNotNull()))
+        return let(
+            starts,
+            lambda s: F.aggregate(
+                F.zip_with(
+                    s,
+                    F.slice(s, 2, F.greatest(F.size(s), F.lit(1))),
+                    lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))),
                 ),
-            )
-
-        paired = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(
-            let(paired, of_sorted)
+                F.lit(0).cast("long"),
+                lambda acc, x: acc + x,
+            ),
         )
 
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))
+    paired = F.array_sort(F.transform(grams, lambda g, i: F.struct(F.xxhash64(g).alias("g"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0).cast("long")).otherwise(
+        let(paired, of_sorted)
     )
-    return F.when(F.size(words) < WINDOW, F.lit(0).cast("long")).otherwise(let(windows, covered))
 
 
 def assess(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     lost_chars, kept and clean_text (the passing lines, joined by line feeds)."""
-    made = ["_words", "_lines", "_judged", "_fine"]
+    made = ["_plain", "_chars", "_lines", "_bad", "_fine", "_grams", "_odd"]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    one = df.drop(*made).withColumns({"_words": words_of(F.col(text_col)), "_lines": F.split(text, "\n", -1)})
-    two = one.withColumns(
+    one = df.drop(*made).withColumns(
         {
-            "_judged": F.transform(
-                "_lines",
-                lambda x: F.struct(
-                    x.alias("line"),
-                    line_fails(x).alias("bad"),
-                ),
-            ),
-            "_fine": F.filter("_lines", lambda x: x.rlike(WORD)),
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "_plain": single_blanks(text),
+            "_lines": F.split(text, "\n", -1),
             "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words")),
         }
     )
-    lost = F.aggregate(
-        F.filter("_judged", lambda x: x["bad"]),
-        F.lit(0).cast("long"),
-        lambda acc, x: acc + F.length(F.regexp_replace(x["line"], r"[\x20\x09-\x0D]+", "")),
-    )
+    others = [F.contains(text, F.lit(c)) for c in SEPARATORS if c not in SYMBOLS]
+    odd = F.col("n_symbols") > 0
+    for has in others:
+        odd = odd | has
+    two = one.withColumns({"_chars": F.length(F.replace(F.col("_plain"), F.lit(" "), F.lit(""))), "_odd": odd})
     three = two.withColumns(
         {
+            "word_chars": F.col("_chars").cast("long"),
+            "n_words": F.when(F.col("_chars") == 0, F.lit(0)).otherwise(F.length("_plain") - F.col("_chars") + 1).cast("long"),
+            "_grams": F.regexp_extract_all("_plain", F.lit(GRAMS), F.lit(1)),
+            "_bad": F.transform("_lines", lambda x: line_fails(x, F.col("_odd"))),
+            "_fine": F.filter("_lines", lambda x: x.rlike(WORD)),
+        }
+    )
+    failing = F.filter("_lines", lambda x, i: F.get(F.col("_bad"), i))
+    lost = F.when(
+        F.array_contains("_bad", True),
+        F.aggregate(failing, F.lit(0).cast("long"), lambda acc, x: acc + _bare(x)),
+    ).otherwise(F.lit(0).cast("long"))
+    four = three.withColumns(
+        {
+            "n_repeat_words": repeated_words(F.col("_grams")),
             "n_dup_lines": (F.size("_fine") - F.size(F.array_distinct("_fine"))).cast("long"),
-            "base_failed": (F.col("n_words") < MIN_WORDS)
-            | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT),
             "lost_chars": lost,
-            "clean_text": F.array_join(
-                F.transform(F.filter("_judged", lambda x: ~x["bad"]), lambda x: x["line"]), "\n"
-            ),
+            "clean_text": F.when(
+                F.array_contains("_bad", True),
+                F.array_join(F.filter("_lines", lambda x, i: ~F.get(F.col("_bad"), i)), "\n"),
+            ).otherwise(text),
         }
     )
+    base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     verdict = F.col("lost_chars") * 100 <= F.col("word_chars") * MAX_LOST_PERCENT
-    return three.withColumn("kept", ~F.col("base_failed") & verdict).drop(*made)
+    five = four.withColumn("base_failed", base_failed)
+    return five.withColumn("kept", ~F.col("base_failed") & verdict).drop(*made)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -179,13 +199,13 @@ l AS (SELECT doc_id, unnest(ls) AS line FROM w),
 j AS (SELECT doc_id, line,
         length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS bare,
         len(regexp_extract_all(line, '{WORD}')) AS nw,
-        len(list_filter(regexp_extract_all(line, '{WORD}'), lambda x: x IN ('|','›','»','→','>','•','·','/'))) AS seps,
-        len(regexp_extract_all(line, '{LINE_SYMBOLS}')) AS syms
+        len(regexp_extract_all(line, '{SEPARATOR}')) AS seps,
+        len(regexp_extract_all(line, '{SYMBOLS}')) AS syms
       FROM l),
 f AS (SELECT *, nw > 0 AND (syms * 100 > bare * {MAX_SYMBOL_PERCENT}
         OR (NOT regexp_matches(line, '{SENTENCE_MARK}') AND nw >= {MIN_PROSE_WORDS})
         OR (seps >= {MIN_SEPARATORS} AND seps * {WORDS_PER_SEPARATOR} >= nw)
-        OR (regexp_matches(line, '(?i){phrases}') AND nw <= {MAX_BOILERPLATE_WORDS})) AS bad FROM j),
+        OR (regexp_matches(lower(line), '{phrases}') AND length(line) <= {MAX_BOILERPLATE_CHARS})) AS bad FROM j),
 x AS (SELECT doc_id, sum(CASE WHEN bad THEN bare ELSE 0 END) AS lost,
         count(*) FILTER (WHERE nw > 0) - count(DISTINCT line) FILTER (WHERE nw > 0) AS dups FROM f GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
