@@ -44,7 +44,7 @@ MIN_PROSE_WORDS = 8
 MAX_SYMBOL_PERCENT = 15
 MIN_SEPARATORS = 3
 WORDS_PER_SEPARATOR = 4
-MAX_BOILERPLATE_CHARS = 240
+MAX_BOILERPLATE_CHARS = 120
 
 SYMBOLS = r"[#*$%&|<>]"
 SENTENCE_MARK = r"[.!?…。！？:;,]"
@@ -76,7 +76,10 @@ GRAMS = r"(?=([^ ]++(?: [^ ]++){7}))[^ ]++ ?"
 
 def single_blanks(text: Column) -> Column:
     """The words of a text joined by single blanks; rare white space is looked for first."""
-    rare = F.when(text.rlike(r"[\t\x0B\f\r]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    odd = F.contains(text, F.lit("\t"))
+    for c in "\x0b\x0c\r":
+        odd = odd | F.contains(text, F.lit(c))
+    rare = F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
     plain = F.trim(F.replace(rare, F.lit("\n"), F.lit(" ")))
     return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
 
