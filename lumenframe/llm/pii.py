@@ -339,7 +339,11 @@ def listed(spans):
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find(docs, fit_on(docs))
-    counts = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long") for k in KINDS}
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = {f"n_{k}": number(k) for k in KINDS}
     base = F.filter("spans", lambda s: s["base"])
     return found.withColumns(counts).select(
         "doc_id", *counts, hex_sha256(listed(base)).alias("base_sha256"), listed(F.col("spans")).alias("spans")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, chat, html_extract, mixing, pii, quality
+from lumenframe.llm import bpe, chat, html_extract, mixing, near_dedup, pii, quality
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
     "op3_mix_sources": mixing.query,
+    "op4_near_dedup": near_dedup.query,
     "op5_byte_bpe": bpe.query,
     "op6_pii_crf": pii.query,
     "op7_quality_rules": quality.query,
