@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenframe.llm import bpe, chat, html_extract, mixing, near_dedup, pii, quality
+from lumenframe.llm import bpe, chat, html_extract, line_dedup, mixing, near_dedup, pii, quality
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_pii_crf": pii.query,
     "op7_quality_rules": quality.query,
     "op8_chat_format": chat.query,
+    "op10_line_dedup": line_dedup.query,
 }
 
 ORACLES = {
