@@ -154,7 +154,7 @@ def test_leakage(spark):
 
 
 def test_leakage_codes_and_bands(spark):
-    rows = [(i % 10, int(i % 10 in (2, 5, 7))) for i in range(600)]
+    rows = [(float(i % 10), int(i % 10 in (2, 5, 7))) for i in range(600)]
     found = leakage.find_leaks(spark.createDataFrame(rows, "q double, y int"), ["a", "b"], features=["q"], categorical=[])
     assert "{2, 5, 7} -> 'b'" in found[0]["rule"]
 
