@@ -1,0 +1,34 @@
+"""The registered corpus queries: reference SQL where there is any, shape elsewhere."""
+
+import math
+import os
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from lumenframe.llm import queries
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    plain = lambda v: round(v, 6) if isinstance(v, float) and math.isfinite(v) else v
+    got = sorted((tuple(map(plain, r)) for r in df.select(*columns).collect()), key=repr)
+    cursor = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
+
+
+def test_pipeline(spark):
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality rules", "line dedup", "near dedup", "source mixing", "byte bpe"]
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert out and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in out)
