@@ -16,7 +16,8 @@ becomes a span if its best label is a kind with a probability of at least
 labels consistent inside a document and invents none in a document without any.
 
 Weights are fitted on the driver by pseudo-likelihood, whose labels are the base
-spans, on a sample of at most ``sample_rows`` documents that hold a digit or an at
+spans (candidates that skip edges tie to one are left out, their label is the open
+question), on a sample of at most ``sample_rows`` documents that hold a digit or an at
 sign, picked by a hash of id and text. Only this fit is bounded; every document is
 searched whole.
 
@@ -48,7 +49,7 @@ ROUNDS = 12
 DAMPING = 0.3
 MIN_PROBABILITY = 0.9
 #: Prior means of the diagonal of the two pair tables.
-CHAIN_PRIOR, SKIP_PRIOR = 0.2, 4.0
+CHAIN_PRIOR, SKIP_PRIOR = 0.2, 6.0
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -190,20 +191,22 @@ def fit(texts: list[str], *, steps: int = 150, rate: float = 0.5, ridge: float =
     k = len(LABELS)
     for text in texts:
         nodes = nodes_of(text, base_spans(text))
-        first = len(ys)
-        labels = [max(n[0], 0) for n in nodes]
         chain, skip = graph(text, nodes)
+        # what skip edges tie to a base span is the open question, not an example of "other"
+        tied = {i for a, b in skip for i, j in ((a, b), (b, a)) if nodes[i][0] < 0 <= nodes[j][0]}
+        labels = [max(n[0], 0) for n in nodes]
         around = np.zeros((2, len(nodes), k))
         for which, edges in enumerate((chain, skip)):
             for a, b in edges:
-                around[which, a, labels[b]] += 1
-                around[which, b, labels[a]] += 1
+                if a not in tied and b not in tied:
+                    around[which, a, labels[b]] += 1
+                    around[which, b, labels[a]] += 1
         for i, (_, s, e) in enumerate(nodes):
-            xs.append(features(text, s, e))
-            chains.append(around[0, i])
-            skips.append(around[1, i])
-        ys += labels
-        assert len(ys) == first + len(nodes)
+            if i not in tied:
+                xs.append(features(text, s, e))
+                chains.append(around[0, i])
+                skips.append(around[1, i])
+                ys.append(labels[i])
     if not ys:
         return w
     x, c, s = np.array(xs), np.array(chains), np.array(skips)

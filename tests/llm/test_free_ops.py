@@ -182,7 +182,7 @@ def test_neighbours(spark):
     for q, found in got.items():
         near = sorted((-scores[q, i], i) for i in range(400) if i != q)[:20]
         assert [round(s, 9) for _, s in found] == [round(-s, 9) for s, _ in near]
-        assert [i for i, _ in found] == [i for _, i in sorted((-round(s, 12), i) for i, s in found)]
+        assert found == sorted(found, key=lambda x: (-x[1], x[0]))
 
 
 def test_neighbours_of_few(spark):
