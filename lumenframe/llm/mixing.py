@@ -57,9 +57,9 @@ def source_targets(sized: DataFrame, *, weights=WEIGHTS, epochs: float = EPOCHS,
         }
     )
     level = (F.col("total") * float(epochs) - F.col("caps_before")) / F.col("weights_from")
-    # the level is right where it first stays below the ratio: all later sources share it
+    # the level is right where it first stays below the ratio; from there on it only falls
     found = before.withColumn("own", level).withColumn(
-        "level", F.min(F.when(F.col("own") <= F.col("ratio"), F.col("own"))).over(everything)
+        "level", F.max(F.when(F.col("own") <= F.col("ratio"), F.col("own"))).over(everything)
     )
     shared = F.when(F.col("level").isNull() | (F.col("ratio") < F.col("level")), F.col("cap")).otherwise(F.col("level") * F.col("weight"))
     return found.select("source", "source_size", "source_rows", "place", F.least(shared, F.col("cap")).alias("target"))
@@ -182,7 +182,7 @@ s1 AS (SELECT *, CASE place % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DO
 s2 AS (SELECT *, cap / weight AS ratio FROM s1),
 s3 AS (SELECT *, (total * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
    / sum(weight) OVER (ORDER BY ratio, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS own FROM s2),
-s4 AS (SELECT *, min(CASE WHEN own <= ratio THEN own END) OVER () AS level FROM s3),
+s4 AS (SELECT *, max(CASE WHEN own <= ratio THEN own END) OVER () AS level FROM s3),
 s AS (SELECT source, source_size, place, CASE WHEN level IS NULL OR ratio < level THEN cap ELSE least(level * weight, cap) END AS target FROM s4)"""
 
 
