@@ -16,6 +16,8 @@ from lumenframe.llm.common import stash
 #: A bucket of at most so many members is compared exhaustively.
 SMALL = 24
 MAX_ROUNDS = 40
+#: Rounds of refining buckets whose members a star leaves apart.
+ROUNDS = 4
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -65,29 +67,48 @@ def bucket_pairs(members: DataFrame, *, small: int = SMALL) -> tuple[DataFrame,
     return exhaustive.union(star).distinct(), large
 
 
-def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame], *, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def bucket_components(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    *,
+    refine: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+    small: int = SMALL,
+) -> tuple[DataFrame, DataFrame]:
     """Components of the links that ``verify`` (pairs (a, b) in, links (a, b) out)
-    confirms among members that share a bucket. Returns (components, links).
+    confirms among members (bucket, id, weight) of shared buckets. Returns (components,
+    links), the links being those that were looked for.
 
-    Larger buckets first give a star. Members that this doesn't bring together with
-    the centre's component are then compared with every member of another component
-    of the bucket: no pair that could join two components is left out, and within a
-    component no further pair is made."""
-    pairs, large = bucket_pairs(members, small=small)
-    large = stash(large, name="large")
-    links = stash(verify(pairs), name="links")
-    if large.isEmpty():
-        return components(links), links
-    found = stash(components(links), name="components")
-    named = found.select("id", "component")
-    labelled = large.join(named, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
-    centers = large.select("bucket", "center").distinct().join(named.withColumnRenamed("id", "center"), "center", "left")
-    centers = centers.select("bucket", F.coalesce("component", "center").alias("home"))
-    placed = stash(labelled.join(centers, "bucket").select("bucket", "id", "own", "home"), name="placed")
-    apart = placed.filter("own <> home").select("bucket", F.col("id").alias("x"), F.col("own").alias("own_x"))
-    if apart.isEmpty():
-        return found, links
-    meets = apart.join(placed, "bucket").filter("own_x <> own")
-    more = meets.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    links = stash(links.union(verify(more)), name="links")
+    Larger buckets first give a star. Where it leaves a bucket's members in several
+    components, those apart from the centre's (``apart``) may still link with others.
+    ``refine`` turns (bucket, center, id, own, apart, weight) into smaller buckets
+    (members) and pairs that together hold all such links; these are treated alike, for
+    ROUNDS rounds. Without it, and after the last round, members apart are compared with
+    every member of another component of the bucket, so no link is left out."""
+    links = None
+    for round_ in range(ROUNDS):
+        pairs, large = bucket_pairs(members, small=small)
+        large = stash(large.join(members.select("bucket", "id", "weight"), ["bucket", "id"]), name="large")
+        new = verify(pairs)
+        links = stash(new if links is None else links.union(new).distinct(), name="links")
+        found = stash(components(links), name="components")
+        if large.isEmpty():
+            return found, links
+        named = found.select("id", "component")
+        labelled = large.join(named, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
+        centers = large.select("bucket", "center").distinct().join(named.withColumnRenamed("id", "center"), "center", "left")
+        homes = centers.select("bucket", F.coalesce("component", "center").alias("home"))
+        mixed = labelled.join(homes, "bucket").withColumn("apart", F.col("own") != F.col("home")).drop("home")
+        open_ = mixed.filter("apart").select("bucket").distinct()
+        placed = stash(mixed.join(open_, "bucket"), name="placed")
+        if placed.isEmpty():
+            return found, links
+        if refine is None or round_ == ROUNDS - 1:
+            break
+        members, more = refine(placed)
+        links = stash(links.union(verify(more)).distinct(), name="links")
+    every = placed.select("bucket", "id", "own")
+    apart = placed.filter("apart").select("bucket", F.col("id").alias("x"), F.col("own").alias("own_x"))
+    meets = apart.join(every, "bucket").filter("own_x <> own")
+    rest = meets.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    links = stash(links.union(verify(rest)).distinct(), name="links")
     return components(links), links

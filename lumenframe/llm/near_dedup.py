@@ -10,8 +10,11 @@ form a class first; only classes go on, so copies never meet in a bucket. A clas
   chosen by a hash of the node's path, so that a pair at the threshold is expected to
   go on in as many children as it came from; repeated trees give the recall;
 * a node still large at ``DEPTH`` holds classes that agree in many tokens. It gives a
-  star from one member and then all pairs that could still join two components (see
-  ``links.bucket_components``), so its pairs grow with its members, not their square.
+  star from its class of most documents. Members that the star leaves apart can link
+  with another member only if both hold a shingle that the centre lacks, which is then
+  their smaller node (it is branched no further but starred again), or if the counts of
+  shingles inside and outside the centre allow the threshold without one. Both cases
+  are followed, so no link is lost and pairs don't grow with the square of a group.
 
 Pairs whose tokens agree too rarely for the threshold are dropped (a pair at the
 threshold stays with a chance over 1 - 1e-6), the others are confirmed on full sets.
@@ -153,16 +156,26 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """Per row: id, n_shingles, component_id, n_links (of its class, to other classes) and kept."""
     rows = stash(signatures(df, id_col=id_col, text_col=text_col).withColumn("cid", F.xxhash64("n_shingles", "d1", "d2")), name="signatures")
     full = rows.filter("n_shingles > 0")
-    classes = stash(full.dropDuplicates(["cid"]).select("cid", "tokens", "n_shingles", F.col(id_col).alias("sample_id")), name="classes")
-    nodes = tree_nodes(classes).withColumn("weight", F.lit(0))
+    copies = full.groupBy("cid").agg(F.count(F.lit(1)).alias("copies"))
+    one_each = full.dropDuplicates(["cid"]).select("cid", "tokens", "n_shingles", F.col(id_col).alias("sample_id"))
+    classes = stash(one_each.join(copies, "cid"), name="classes")
+    weights = classes.select(F.col("cid").alias("id"), F.col("copies").alias("weight"))
+    nodes = stash(tree_nodes(classes).join(weights, "id"), name="members")
 
     def verify(pairs: DataFrame) -> DataFrame:
         close = stash(_agreeing(pairs, classes, _least_agreement(percent)), name="close")
         wanted = close.select(F.col("a").alias("cid")).union(close.select(F.col("b").alias("cid"))).distinct()
+        return _confirmed(close, sets(wanted), percent)
+
+    def sets(wanted: DataFrame) -> DataFrame:
         ids = wanted.join(classes.select("cid", "sample_id"), "cid").select("cid", F.col("sample_id").alias(id_col))
-        return _confirmed(close, _sets_of(df.select(id_col, text_col), ids, id_col), percent)
+        return _sets_of(df.select(id_col, text_col), ids, id_col)
+
+    def refine(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        wanted = placed.select(F.col("id").alias("cid")).union(placed.select(F.col("center").alias("cid"))).distinct()
+        return _beyond_center(placed, sets(wanted), percent)
 
-    found, links = bucket_components(nodes, verify)
+    found, links = bucket_components(nodes, verify, refine=refine)
     degree = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
     groups = full.groupBy("cid").agg(F.min(id_col).alias("least"))
     placed = groups.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -199,6 +212,40 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return stash(made.filter(F.col("cid") == F.xxhash64(n, d1, d2)).drop("digest"), name="sets").dropDuplicates(["cid"])
 
 
+def _beyond_center(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Smaller nodes (bucket, id, weight), one per bucket and shingle outside the centre
+    that a member apart shares; and the pairs (a, b) that could link without such a one."""
+    one = sets.select(F.col("cid").alias("id"), F.col("shingles").alias("own_set"))
+    two = sets.select(F.col("cid").alias("center"), F.col("shingles").alias("center_set"))
+    rows = placed.join(one, "id").join(two, "center").select("bucket", "id", "own", "apart", "weight", "own_set", "center_set")
+    schema = "bucket long, id long, own long, apart boolean, weight long, inside long, outside array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
+                inside, outside = [], []
+                for x, c in zip(batch.column(5), batch.column(6), strict=True):
+                    p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, c))
+                    beyond = np.setdiff1d(p, q, assume_unique=True)
+                    inside.append(len(p) - len(beyond))
+                    outside.append(beyond.view(np.int64))
+                columns = [batch.column(i) for i in range(5)]
+                columns += [pa.array(inside, pa.int64()), pa.array(outside, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "id", "own", "apart", "weight", "inside", "outside"])
+
+    split = stash(rows.mapInArrow(run, schema), name="outside").withColumn("extra", F.size("outside"))
+    held = split.select("bucket", "id", "own", "apart", "weight", F.explode("outside").alias("shingle"))
+    worth = held.groupBy("bucket", "shingle").agg(F.bool_or("apart").alias("open"), F.min("own").alias("lo"), F.max("own").alias("hi"))
+    shared = worth.filter("open and lo <> hi").select("bucket", "shingle")
+    smaller = held.join(shared, ["bucket", "shingle"]).select(F.xxhash64("bucket", "shingle").alias("bucket"), "id", "weight")
+    x = split.filter("apart").select("bucket", F.col("id").alias("x"), F.col("own").alias("own_x"), F.col("inside").alias("in_x"), F.col("extra").alias("out_x"))
+    y = split.select("bucket", F.col("id").alias("y"), F.col("own").alias("own_y"), F.col("inside").alias("in_y"), F.col("extra").alias("out_y"))
+    bound = F.least("in_x", "in_y") * 100 >= (F.greatest("in_x", "in_y") + F.col("out_x") + F.col("out_y")) * percent
+    without = x.join(y, "bucket").filter((F.col("own_x") != F.col("own_y")) & bound)
+    return stash(smaller, name="smaller"), without.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _class_id(s: np.ndarray) -> bytes:
     d1 = kernel.mix64(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64)
     d2 = kernel.mix64(s + np.uint64(0x7654321)).sum(dtype=np.uint64)
