@@ -294,7 +294,8 @@ def leakage_category(spark, d):
 
 @query("leakage_numeric", "SELECT 'price' AS feature, 1.0::DOUBLE AS score")
 def leakage_numeric(spark, d):
-    rows = t(spark, d, "part").select(F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("size"), (F.col("p_retailprice") > 950).cast("int").alias("y"))
+    price = F.col("l_extendedprice")
+    rows = t(spark, d, "lineitem").select(price.alias("price"), F.col("l_quantity").alias("size"), (price > 50000).cast("int").alias("y"))
     found = leakage.find_leaks(rows, ["no", "yes"], features=["price", "size"], categorical=[])
     return spark.createDataFrame([(s["feature"], float(s["score"])) for s in found], "feature string, score double")
 
