@@ -213,31 +213,39 @@ def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def _beyond_center(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Smaller nodes (bucket, id, weight), one per bucket and shingle outside the centre
-    that a member apart shares; and the pairs (a, b) that could link without such a one."""
+    """Smaller nodes (bucket, id, weight) by shingles outside the centre that a member
+    apart shares; and the pairs (a, b) that could link without such a one.
+
+    To link at all a member with i shingles inside and o outside the centre has to share
+    r = p * (i + o) - i outside ones (p the threshold), so its first o - r + 1 in one
+    common order are enough to meet every partner. Shingles with the same holders are one
+    node."""
     one = sets.select(F.col("cid").alias("id"), F.col("shingles").alias("own_set"))
     two = sets.select(F.col("cid").alias("center"), F.col("shingles").alias("center_set"))
     rows = placed.join(one, "id").join(two, "center").select("bucket", "id", "own", "apart", "weight", "own_set", "center_set")
-    schema = "bucket long, id long, own long, apart boolean, weight long, inside long, outside array<long>"
+    schema = "bucket long, id long, own long, apart boolean, weight long, inside long, extra long, outside array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
-                inside, outside = [], []
+                inside, extra, outside = [], [], []
                 for x, c in zip(batch.column(5), batch.column(6), strict=True):
                     p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, c))
                     beyond = np.setdiff1d(p, q, assume_unique=True)
                     inside.append(len(p) - len(beyond))
-                    outside.append(beyond.view(np.int64))
+                    extra.append(len(beyond))
+                    need = max(1, -(-percent * len(p) // 100) - inside[-1])
+                    outside.append(beyond[: max(0, len(beyond) - need + 1)].view(np.int64))
                 columns = [batch.column(i) for i in range(5)]
-                columns += [pa.array(inside, pa.int64()), pa.array(outside, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "id", "own", "apart", "weight", "inside", "outside"])
+                columns += [pa.array(inside, pa.int64()), pa.array(extra, pa.int64()), pa.array(outside, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "id", "own", "apart", "weight", "inside", "extra", "outside"])
 
-    split = stash(rows.mapInArrow(run, schema), name="outside").withColumn("extra", F.size("outside"))
+    split = stash(rows.mapInArrow(run, schema), name="outside")
     held = split.select("bucket", "id", "own", "apart", "weight", F.explode("outside").alias("shingle"))
-    worth = held.groupBy("bucket", "shingle").agg(F.bool_or("apart").alias("open"), F.min("own").alias("lo"), F.max("own").alias("hi"))
-    shared = worth.filter("open and lo <> hi").select("bucket", "shingle")
+    holders = F.bit_xor(F.xxhash64("id")).alias("holders")
+    worth = held.groupBy("bucket", "shingle").agg(F.bool_or("apart").alias("open"), F.min("own").alias("lo"), F.max("own").alias("hi"), holders, F.count(F.lit(1)).alias("n"))
+    shared = worth.filter("open and lo <> hi").groupBy("bucket", "holders", "n").agg(F.min("shingle").alias("shingle")).select("bucket", "shingle")
     smaller = held.join(shared, ["bucket", "shingle"]).select(F.xxhash64("bucket", "shingle").alias("bucket"), "id", "weight")
     x = split.filter("apart").select("bucket", F.col("id").alias("x"), F.col("own").alias("own_x"), F.col("inside").alias("in_x"), F.col("extra").alias("out_x"))
     y = split.select("bucket", F.col("id").alias("y"), F.col("own").alias("own_y"), F.col("inside").alias("in_y"), F.col("extra").alias("out_y"))
