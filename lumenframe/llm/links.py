@@ -71,7 +71,7 @@ def bucket_components(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     *,
-    refine: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+    refine: Callable[[DataFrame], tuple[DataFrame | None, DataFrame]] | None = None,
     small: int = SMALL,
 ) -> tuple[DataFrame, DataFrame]:
     """Components of the links that ``verify`` (pairs (a, b) in, links (a, b) out)
@@ -81,8 +81,8 @@ def bucket_components(
     Larger buckets first give a star. Where it leaves a bucket's members in several
     components, those apart from the centre's (``apart``) may still link with others.
     ``refine`` turns (bucket, center, id, own, apart, weight) into smaller buckets
-    (members) and pairs that together hold all such links; these are treated alike, for
-    ROUNDS rounds. Without it, and after the last round, members apart are compared with
+    (members, or None) and pairs that together hold all such links; these are treated
+    alike, for ROUNDS rounds. Without it, and after the last round, members apart are compared with
     every member of another component of the bucket, so no link is left out."""
     links = None
     for round_ in range(ROUNDS):
@@ -106,6 +106,8 @@ def bucket_components(
             break
         members, more = refine(placed)
         links = stash(links.union(verify(more)).distinct(), name="links")
+        if members is None:
+            return components(links), links
     every = placed.select("bucket", "id", "own")
     apart = placed.filter("apart").select("bucket", F.col("id").alias("x"), F.col("own").alias("own_x"))
     meets = apart.join(every, "bucket").filter("own_x <> own")
