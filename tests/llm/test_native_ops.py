@@ -167,6 +167,33 @@ def test_line_dedup(spark, docs):
         assert r["clean_text"] == want, r["doc_id"]
 
 
+def test_line_dedup_signs_whole_lines(spark, docs):
+    """Lines without blanks, tab-separated and short ones, edits at any place."""
+    import random
+
+    rng = random.Random(11)
+    letters, han = "abcdefghijklmnopqrstuvwxyz", [chr(c) for c in range(0x4E00, 0x4F00)]
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+
+    def edited(line, n):
+        x = list(line)
+        for i in rng.sample([i for i, c in enumerate(x) if c not in " \t"], n):
+            x[i] = "#"
+        return "".join(x)
+
+    lines = ["https://" + "/".join(word(9) for _ in range(9)) for _ in range(15)]
+    lines += ["".join(rng.choice(han) for _ in range(70)) for _ in range(15)]
+    lines += ["\t".join(word(6) for _ in range(12)) for _ in range(15)]
+    lines += [" ".join(word(rng.randint(5, 20)) for _ in range(14)) for _ in range(40)]
+    near = [edited(x, 1) for x in lines] + ["#" + x[1:] for x in lines] + [edited(x, 3) for x in lines[45:]]
+    short = [word(rng.randint(1, 9)) for _ in range(20)] + [word(20) for _ in range(20)]
+    near += [x[:-1] + "#" for x in short] + [x + "#" for x in short]
+    texts = [*lines, *short, *near]
+    gone = {d for d, _ in brute_lines(texts)}
+    assert len(gone) > 150
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(docs(texts)).collect() if r["n_removed"]} == gone
+
+
 def test_line_dedup_edges(spark, docs):
     assert line_dedup.dedup_lines(docs([]).limit(0)).count() == 0
     same = line_dedup.dedup_lines(docs([(1, "a line of words"), (1, "a line of words"), (None, "a line of words")])).collect()
