@@ -6,8 +6,8 @@ punctuation, the link text and the number of blocks are aggregated. Two ratios f
 text per block and punctuation per block, both of text outside links. Each is smoothed
 over the sequence of blocks by a Gaussian, the two are fused by a geometric mean, and
 a threshold (a share of the page's mean plus deviation) selects paths. The content
-root is the deepest element that holds nearly all selected text; the blocks below
-it are the main text.
+root is the deepest element that holds all selected blocks; the blocks below it are
+the main text.
 
 Left out by markup, wherever they stand: head, scripts, styles, forms and other
 controls, nav, aside, footer and header elements (a header inside an article keeps
@@ -39,8 +39,6 @@ from lumenframe.llm.common import table
 #: Width of the smoothing in blocks, and the threshold in deviations above the mean.
 SIGMA = 1.0
 DEVIATIONS = -0.25
-#: Share of the selected text that the content root has to hold.
-ROOT_SHARE = 0.9
 
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -270,16 +268,9 @@ def extract(page: str | None) -> str:
     selected = [i for i, (p, *_) in enumerate(blocks) if best[p] >= limit]
     if not selected:
         selected = list(range(len(blocks)))
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for i in selected:
-        _, chain, text, _ = blocks[i]
-        total += len(text)
-        for d, element in enumerate(chain):
-            held[element] = held.get(element, 0) + len(text)
-            depth[element] = d
-    root = max((e for e, n in held.items() if n >= ROOT_SHARE * total), key=lambda e: depth[e])
+    chains = [blocks[i][1] for i in selected]
+    common = set(chains[0]).intersection(*chains)
+    root = next(e for e in reversed(chains[0]) if e in common)  # the page is in every chain
     if len(selected) == 1 and len(blocks[selected[0]][1]) > 1:
         root = blocks[selected[0]][1][-2]  # one block alone: its element's siblings belong to it
     return "\n\n".join(text for _, chain, text, _ in blocks if root in chain)

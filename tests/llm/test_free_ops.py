@@ -60,6 +60,14 @@ def test_html(body):
     assert html_extract.extract(page(body)) == WANT
 
 
+def test_html_keeps_what_stands_beside_a_long_block():
+    long = "A long paragraph, of many words. " * 60
+    body = f"<article><h1>The title, here</h1><p>A lead, short.</p><p>{long}</p><p>One more, short.</p></article>"
+    assert html_extract.extract(page(body)) == f"The title, here\n\nA lead, short.\n\n{long.strip()}\n\nOne more, short."
+    split = f"<main><section><p>{long}</p><p>{long}</p></section><section><p>A closing section, short.</p></section></main>"
+    assert html_extract.extract(page(split)) == f"{long.strip()}\n\n{long.strip()}\n\nA closing section, short."
+
+
 def test_html_edges(spark):
     assert [html_extract.extract(x) for x in (None, "", "<p>", "plain, text < 3 & so", "<p>a<!-- open", "<b>only, bold</b>")] == ["", "", "", "plain, text < 3 & so", "a", "only, bold"]
     deep = "<div>" * 3000 + "deep, text." + "</div>" * 3000
