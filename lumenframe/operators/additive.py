@@ -5,8 +5,8 @@ JVM) and a lookup in a literal array per term; no join, no shuffle, no Python.
 
 Training follows the published additive-boosting papers (Lou et al. 2012 and 2013, Nori
 et al. 2019): cyclic boosting of one-feature trees, then of chosen pairs, in bags. Bags
-are independent groups of one ``applyInPandas``; a bag sees at most ``bag_rows`` rows,
-picked by a hash. Histograms for cuts, pair choice, centring and importances are
+are independent groups of one ``applyInPandas``; a bag sees about ``bag_rows`` rows
+at most, picked by a hash of content and occurrence. Histograms for cuts, pair choice, centring and importances are
 aggregations over all rows.
 """
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from lumenframe.operators.profile import col
 
 BAG_ROWS = 1_000_000
+#: Equal rows that are made again at once.
+RUN = 65_536
 
 
 @dataclass
@@ -244,13 +246,21 @@ def boost(bins: list[np.ndarray], sizes: list[int], ordered: list[bool], y: np.n
     return best if p["early_stopping_rounds"] else tables
 
 
-def _bagged(binned: DataFrame, key: Column, bags: int, seed: int, n: int, bag_rows: int) -> DataFrame:
-    """Each bag's rows: all of them, or a share by hash that keeps about ``bag_rows``."""
-    out = binned.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
+def _bagged(binned: DataFrame, bags: int, seed: int, n: int, bag_rows: int) -> DataFrame:
+    """Each bag's rows: all of them, or a share by hash that keeps about ``bag_rows``.
+
+    Equal rows are told apart by their number among each other, so every combination
+    keeps its share in a bag. They are counted and made again, ``RUN`` at once."""
+    out = binned
+    if n > bag_rows:
+        counted = binned.groupBy(*binned.columns).agg(F.count(F.lit(1)).alias("_n"))
+        runs = counted.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))))
+        out = runs.withColumn("_nth", F.explode(F.sequence("_first", F.least(F.col("_first") + RUN, "_n") - 1)))
+    out = out.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
     if n > bag_rows:
         share = int(bag_rows / n * 1_000_000)
-        out = out.filter(F.pmod(F.xxhash64(key, "bag", F.lit(seed)), F.lit(1_000_000)) < share)
-    return out
+        out = out.filter(F.pmod(F.xxhash64(*binned.columns, "_nth", "bag", F.lit(seed)), F.lit(1_000_000)) < share)
+    return out.select(*binned.columns, "bag")
 
 
 def fit(df: DataFrame, classes: list, *, continuous: list[str], nominal: dict[str, list[str]], params: dict, y: str = "y", bag_rows: int = BAG_ROWS) -> AdditiveModel:
@@ -268,8 +278,7 @@ def fit(df: DataFrame, classes: list, *, continuous: list[str], nominal: dict[st
     ends = df.agg(*(F.struct(F.min(col(f)), F.max(col(f))).alias(f"e{i}") for i, f in enumerate(continuous))).first() if continuous else []
     model.ranges = {f: list(ends[f"e{i}"]) for i, f in enumerate(continuous) if ends[f"e{i}"][0] is not None}
     binned = bin_frame(df, cuts, nominal)
-    key = F.xxhash64(*(F.col(f"`b_{f}`") for f in features), F.col(y))
-    fine = binned.select(F.col(y).alias("y"), *(F.col(f"`b_{f}`").cast("smallint").alias(f"b{i}") for i, f in enumerate(features)), key.alias("key"))
+    fine = binned.select(F.col(y).alias("y"), *(F.col(f"`b_{f}`").cast("smallint").alias(f"b{i}") for i, f in enumerate(features)))
     schema = "term int, cls int, bin int, score double, weight double"
     seed = params["random_state"]
     ordered = [f in cuts for f in features]
@@ -283,7 +292,7 @@ def fit(df: DataFrame, classes: list, *, continuous: list[str], nominal: dict[st
         return _long(tables, bins)
 
     bags = params["outer_bags"]
-    rows = _bagged(fine, F.col("key"), bags, seed, n, bag_rows).groupBy("bag").applyInPandas(mains, schema)
+    rows = _bagged(fine, bags, seed, n, bag_rows).groupBy("bag").applyInPandas(mains, schema)
     averaged = rows.groupBy("term", "cls", "bin").agg(F.avg("score").alias("score")).collect()
     weights = _bin_weights(binned, features, sizes)
     tables = [np.zeros((w, len(intercept))) for w in width]
@@ -382,7 +391,6 @@ def _add_pairs(model: AdditiveModel, df: DataFrame, y: str, params: dict, pairs:
     flat = [(F.col(f"`p_{a}`") * width[b] + F.col(f"`p_{b}`")).cast("int").alias(f"b{i}") for i, (a, b) in enumerate(chosen)]
     rows = binned.select(F.col(y).alias("y"), *flat, *(r.alias(f"f{c}") for c, r in enumerate(raw)))
     seed, names = params["random_state"], [f"b{i}" for i in range(len(chosen))]
-    key = F.xxhash64(*names, "y")
 
     def boost_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([*names, "y"], kind="stable")
@@ -391,7 +399,7 @@ def _add_pairs(model: AdditiveModel, df: DataFrame, y: str, params: dict, pairs:
         tables = boost(bins, [a * b for a, b in shape], [False] * len(bins), pdf["y"].to_numpy(dtype=np.int64), f, params, [seed, 1 + int(pdf["bag"].iloc[0])])
         return _long(tables, bins)
 
-    got = _bagged(rows, key, params["outer_bags"], seed + 1, n, bag_rows).groupBy("bag").applyInPandas(boost_pairs, "term int, cls int, bin int, score double, weight double")
+    got = _bagged(rows, params["outer_bags"], seed + 1, n, bag_rows).groupBy("bag").applyInPandas(boost_pairs, "term int, cls int, bin int, score double, weight double")
     mean = got.groupBy("term", "cls", "bin").agg(F.avg("score").alias("score"), F.avg("weight").alias("weight")).collect()
     tables = [np.zeros((a * b, model.n_scores)) for a, b in shape]
     weights = [np.zeros(a * b) for a, b in shape]

@@ -239,3 +239,26 @@ def test_catalog(spark, people, bundle, tmp_path):
     assert models.delete_model("m")["deleted"] and not models.list_models()
     with pytest.raises(ValueError, match="exactly one"):
         models.train_model("churn", "n")
+
+
+def test_bags_sample_rows_not_combinations(spark, monkeypatch):
+    """Over bag_rows rows a bag keeps the class proportions of every cell."""
+    from lumenframe.operators import additive
+
+    monkeypatch.setattr(additive, "RUN", 1000, raising=False)
+    positive = {("a", "u"): 0.2, ("a", "v"): 0.8, ("b", "u"): 0.8, ("b", "v"): 0.2}
+    cell = F.when(F.col("id") % 5 < 2, "a").otherwise("b").alias("x"), F.when(F.col("id") % 2 == 0, "u").otherwise("v").alias("z")
+    chance = F.lit(0.0)
+    for (a, b), p in positive.items():
+        chance = chance + F.when((F.col("x") == a) & (F.col("z") == b), p).otherwise(0.0)
+    df = spark.range(20_000).select("id", *cell).withColumn("y", (F.pmod(F.xxhash64("id"), F.lit(1000)) < chance * 1000).cast("int")).drop("id")
+    params = hyperparameters.resolve({"outer_bags": 2, "interactions": 1, "max_rounds": 80, "learning_rate": 0.2})
+    model = additive.fit(df, ["0", "1"], continuous=[], nominal={"x": ["a", "b"], "z": ["u", "v"]}, params=params, bag_rows=4000)
+    score = additive.term_scores(model)
+    raw = F.lit(model.intercept[0])
+    for s in score:
+        raw = raw + s[0]
+    got = {(r["x"], r["z"]): r["q"] for r in additive.with_bins(model, df.distinct()).select("x", "z", (1 / (1 + F.exp(-raw))).alias("q")).distinct().collect()}
+    assert all(abs(got[c] - p) < 0.06 for c, p in positive.items()), got
+    seen = [r["n"] for r in additive._bagged(df, 2, 1, 20_000, 4000).groupBy("bag").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(seen) == 2 and all(abs(n - 4000) < 300 for n in seen)
