@@ -23,7 +23,8 @@ Links are joined by distributed components.
 Recall for one pair at similarity 0.85: it meets at a root's child of one of TREES = 10
 trees with 1 - 0.15^10 = 1 - 6e-9; where those children are large, branching keeps the
 expected number of shared nodes, and over ten trees a miss stays under 1e-3; such a
-pair is usually joined through others of its group as well.
+pair is usually joined through others of its group as well. The share of nodes that are
+branched twice follows the threshold; at 0.8 a root is missed with 0.2^10 = 1e-7.
 
 Defined results: null, empty and blank texts have no set, link with nothing and are
 kept. Null ids: a component takes its least id that isn't null. Rows with equal sets
@@ -48,8 +49,6 @@ from lumenframe.llm.links import SMALL, bucket_components
 COORDINATES = 40
 TREES = 10
 DEPTH = 5
-#: The share of nodes that are branched twice: 1 / 0.85 - 1.
-TWICE = 0.18
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 TOKEN_BYTES = 4
@@ -61,6 +60,11 @@ def _least_agreement(percent: int) -> int:
     return max(1, int(COORDINATES * p - 5.5 * (COORDINATES * p * (1 - p)) ** 0.5))
 
 
+def _twice(percent: int) -> int:
+    """The percentage of nodes that are branched twice: 1 / threshold - 1."""
+    return -(-100 * (100 - percent) // percent)
+
+
 def _utf8(column: pa.Array) -> list[bytes]:
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
 
@@ -108,7 +112,7 @@ def _token(k):
     return F.substring("tokens", k * TOKEN_BYTES + 1, TOKEN_BYTES) if isinstance(k, int) else F.substr("tokens", k * TOKEN_BYTES + 1, F.lit(TOKEN_BYTES))
 
 
-def tree_nodes(classes: DataFrame) -> DataFrame:
+def tree_nodes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Members (bucket, id) of all nodes to be compared. classes: (cid, tokens)."""
     roots = F.array(*(F.xxhash64(F.lit(t), _token(t)) for t in range(TREES)))
     level = classes.select(F.explode(roots).alias("bucket"), F.col("cid").alias("id"))
@@ -129,7 +133,7 @@ def tree_nodes(classes: DataFrame) -> DataFrame:
         one = F.pmod(path, F.lit(free)) + TREES
         step = F.pmod(F.shiftright(path, 16), F.lit(free - 1)) + 1
         two = F.pmod(one - TREES + step, F.lit(free)) + TREES
-        again = F.pmod(F.shiftright(path, 40), F.lit(100)) < int(TWICE * 100)
+        again = F.pmod(F.shiftright(path, 40), F.lit(100)) < _twice(percent)
         chosen = F.explode(F.when(again, F.array(one, two)).otherwise(F.array(one)))
         branched = large.join(classes.select(F.col("cid").alias("id"), "tokens"), "id").withColumn("k", chosen)
         level = branched.select(F.xxhash64("bucket", "k", _token(F.col("k").cast("int"))).alias("bucket"), "id")
@@ -160,7 +164,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     one_each = full.dropDuplicates(["cid"]).select("cid", "tokens", "n_shingles", F.col(id_col).alias("sample_id"))
     classes = stash(one_each.join(copies, "cid"), name="classes")
     weights = classes.select(F.col("cid").alias("id"), F.col("copies").alias("weight"))
-    nodes = stash(tree_nodes(classes).join(weights, "id"), name="members")
+    nodes = stash(tree_nodes(classes, percent).join(weights, "id"), name="members")
 
     def verify(pairs: DataFrame) -> DataFrame:
         close = stash(_agreeing(pairs, classes, _least_agreement(percent)), name="close")

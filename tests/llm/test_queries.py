@@ -32,3 +32,11 @@ def test_pipeline(spark):
     assert names == ["quality rules", "line dedup", "near dedup", "source mixing", "byte bpe"]
     out = corpus_pipeline.run(spark, SF).collect()
     assert out and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in out)
+
+
+def test_pipeline_joins_documents_at_080(spark, docs):
+    words = [f"word{i}" for i in range(300)]
+    near = [f"other{i}" if i % 50 == 25 else w for i, w in enumerate(words)]  # 266 of 326 shingles: 0.82
+    far = [f"else{i}" if i % 40 == 20 else w for i, w in enumerate(words)]  # 261 of 331 to the first: 0.79
+    got = corpus_pipeline.unique_documents(spark, docs([" ".join(x) for x in (words, near, far)]), SF).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 2]
