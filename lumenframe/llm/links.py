@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Returns (id, component) for every id that stands in an edge; component is the
     least id. Alternates large-star and small-star (Kiveris et al., 2014) on written
-    tables until the edges are stars; repeated edges and loops are harmless."""
+    tables until the edges are stars, or raises after MAX_ROUNDS; repeated edges and loops are harmless."""
     current = stash(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name="edges"
     )
@@ -45,6 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == state or not seen[0]:
             break
         state = tuple(seen)
+    else:
+        raise RuntimeError(f"components have not settled after {MAX_ROUNDS} rounds")
     stars = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
 

@@ -246,3 +246,12 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: find(v) for e in edges if e[0] != e[1] for v in e}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_raise_where_they_have_not_settled(spark, monkeypatch):
+    from lumenframe.llm import links
+
+    path = spark.range(40).selectExpr("id a", "id + 1 b")
+    monkeypatch.setattr(links, "MAX_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="settled"):
+        links.components(path)
