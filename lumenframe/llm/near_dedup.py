@@ -18,7 +18,8 @@ form a class first; only classes go on, so copies never meet in a bucket. A clas
 
 Pairs whose tokens agree too rarely for the threshold are dropped (a pair at the
 threshold stays with a chance over 1 - 1e-6), the others are confirmed on full sets.
-Links are joined by distributed components.
+Links are joined by distributed components. Stars tell components, not all links, so
+``n_links`` is counted anew from the full sets of every two classes of a component.
 
 Recall for one pair at similarity 0.85: it meets at a root's child of one of TREES = 10
 trees with 1 - 0.15^10 = 1 - 6e-9; where those children are large, branching keeps the
@@ -52,6 +53,9 @@ DEPTH = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 TOKEN_BYTES = 4
+#: Classes of a component whose links are counted at once, on either side; shingles of a slice of that count.
+BLOCK = 128
+SLICE = 4096
 
 
 def _least_agreement(percent: int) -> int:
@@ -179,8 +183,9 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         wanted = placed.select(F.col("id").alias("cid")).union(placed.select(F.col("center").alias("cid"))).distinct()
         return _beyond_center(placed, sets(wanted), percent)
 
-    found, links = bucket_components(nodes, verify, refine=refine)
-    degree = links.select(F.col("a").alias("cid")).union(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+    found, _ = bucket_components(nodes, verify, refine=refine)
+    found = stash(found, name="found")
+    degree = _degrees(found, sets(found.select(F.col("id").alias("cid"))), percent)
     groups = full.groupBy("cid").agg(F.min(id_col).alias("least"))
     placed = groups.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -282,5 +287,60 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _degrees(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, n_links): the links of each class of ``found`` (id, component), counted over
+    all pairs of its component. Components are dealt into blocks, of which each pair is
+    one group of bounded size."""
+    blocks = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    dealt = found.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "id"), "n").cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    pair = each.select(F.col("id").alias("cid"), "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
+    key = ["component", "lo", "hi"]
+    rows = pair.join(sets, "cid").select(*key, "own", "cid", "shingles").repartition(*key).sortWithinPartitions(*key)
+
+    def counted(own: list[int], lo: int, hi: int, held: list[bytes]) -> np.ndarray:
+        n = np.array([len(x) // 8 for x in held])
+        every, at = np.unique(np.frombuffer(b"".join(held), np.uint64), return_inverse=True)
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        side = np.array(own)
+        a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        both = np.zeros((len(a), len(b)), dtype=np.int64)
+        for first in range(0, len(every), SLICE):
+            i, j = np.searchsorted(at, [first, first + SLICE])
+            has = np.zeros((len(n), min(SLICE, len(every) - first)), dtype=np.float32)
+            has[row[i:j], at[i:j] - first] = 1
+            both += (has[a] @ has[b].T).astype(np.int64)
+        linked = 100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)
+        out = np.zeros(len(n), dtype=np.int64)
+        if lo == hi:
+            out[a] = linked.sum(1) - 1
+        else:
+            out[a], out[b] = linked.sum(1), linked.sum(0)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, cids, held = None, [], [], []
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(counted(own, now[1], now[2], held))], ["cid", "n"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for k, o, c, x in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
+                if k != now:
+                    if held:
+                        yield close()
+                    now, own, cids, held = k, [], [], []
+                own.append(o)
+                cids.append(c)
+                held.append(x.as_py())
+        if held:
+            yield close()
+
+    return rows.mapInArrow(run, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n_links"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=PERCENT).select("doc_id", "n_shingles", "component_id", "n_links", "kept")
