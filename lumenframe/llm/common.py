@@ -37,10 +37,12 @@ def hex_sha256(column: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a local session) one is made and set."""
+    Where the setting is absent a local session (tests) gets one; a cluster must name its own."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lumenframe-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -51,12 +53,23 @@ def stash(df: DataFrame, *, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of what stands
-    above. The files go when the driver's process ends."""
+    above. The files go with ``discard``, or when the driver's process ends. Spark frees
+    the shuffle files of the write once the driver's garbage is collected, which is
+    asked for here: a job of many tables would hold all of them on the executors' disks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stash-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of stashed tables that no plan will read again."""
+    for df in tables:
+        _remove(df.sparkSession, df._stashed_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -8,16 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import stash
+from lumenframe.llm.common import discard, stash
 
 #: A bucket of at most so many members is compared exhaustively.
 SMALL = 24
 MAX_ROUNDS = 40
-#: Rounds of refining buckets whose members a star leaves apart.
-ROUNDS = 4
+#: Members of a family that meet their centre's set in one group.
+BLOCK = 256
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,90 +29,164 @@ def components(edges: DataFrame) -> DataFrame:
     current = stash(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name="edges"
     )
-    state = None
     for _ in range(MAX_ROUNDS):
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = stash(large, name="edges")
+        discard(current)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(least, "u")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         current = stash(small, name="edges")
-        seen = current.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.count_distinct("u")
-        ).first()
-        if tuple(seen) == state or not seen[0]:
+        discard(large)
+        if _are_stars(current):
             break
-        state = tuple(seen)
     else:
         raise RuntimeError(f"components have not settled after {MAX_ROUNDS} rounds")
     stars = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())
 
 
-def bucket_pairs(members: DataFrame, *, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare of members (bucket, id, weight), ids once per bucket.
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one edge and no v is a u."""
+    n, ids = edges.agg(F.count(F.lit(1)), F.count_distinct("u")).first()
+    return n == ids and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
-    Small buckets give all their pairs, larger ones a star from their heaviest member
-    (ties: the least id). The second result holds the larger buckets' members with
-    their ``center``."""
-    sizes = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("weight")).alias("w"), "id"))["id"].alias("center")
-    ).filter("n > 1")
-    sized = members.select("bucket", "id").join(sizes, "bucket")
-    few = sized.filter(F.col("n") <= small).select("bucket", "id")
-    other = few.select("bucket", F.col("id").alias("b"))
-    exhaustive = few.withColumnRenamed("id", "a").join(other, "bucket").filter("a < b").select("a", "b")
-    large = sized.filter(F.col("n") > small).select("bucket", "id", "center")
-    star = large.filter("id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b"))
-    return exhaustive.union(star).distinct(), large
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after further links (a, b): only components are joined."""
+    name = found.select(F.col("id").alias("x"), F.col("component").alias("cx"))
+    left = links.join(name.withColumnsRenamed({"x": "a", "cx": "ca"}), "a", "left")
+    both = left.join(name.withColumnsRenamed({"x": "b", "cx": "cb"}), "b", "left")
+    ends = both.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    joined = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).withColumnsRenamed({"id": "old", "component": "new"})
+    every = found.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
+    known = every.join(joined, every["component"] == joined["old"], "left")
+    return known.select("id", F.coalesce("new", "component").alias("component"))
+
+
+def spokes(sized: DataFrame) -> DataFrame:
+    """(bucket, center, id, n) of members, with sa and sb where they have a sign: a star in
+    every bucket. Its centre is the member that stands in most buckets (``seen``), so the
+    most typical one (ties: the heaviest, then the greatest id)."""
+    carried = [c for c in ("id", "sign") if c in sized.columns]
+    typical = sized.groupBy("bucket").agg(F.max(F.struct("seen", "weight", *carried)).alias("c"))
+    signs = [F.col("c.sign").alias("sa"), F.col("sign").alias("sb")] if "sign" in carried else []
+    return sized.join(typical, "bucket").select("bucket", F.col("c.id").alias("center"), "id", "n", *signs)
 
 
 def bucket_components(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
+    sets_of: Callable[[DataFrame], DataFrame],
     *,
-    refine: Callable[[DataFrame], tuple[DataFrame | None, DataFrame]] | None = None,
+    percent: int,
     small: int = SMALL,
+    agree: Callable[[Column, Column], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Components of the links that ``verify`` (pairs (a, b) in, links (a, b) out)
-    confirms among members (bucket, id, weight) of shared buckets. Returns (components,
-    links), the links being those that were looked for.
-
-    Larger buckets first give a star. Where it leaves a bucket's members in several
-    components, those apart from the centre's (``apart``) may still link with others.
-    ``refine`` turns (bucket, center, id, own, apart, weight) into smaller buckets
-    (members, or None) and pairs that together hold all such links; these are treated
-    alike, for ROUNDS rounds. Without it, and after the last round, members apart are compared with
-    every member of another component of the bucket, so no link is left out."""
-    links = None
-    for round_ in range(ROUNDS):
-        pairs, large = bucket_pairs(members, small=small)
-        large = stash(large.join(members.select("bucket", "id", "weight"), ["bucket", "id"]), name="large")
-        new = verify(pairs)
-        links = stash(new if links is None else links.union(new).distinct(), name="links")
-        found = stash(components(links), name="components")
-        if large.isEmpty():
-            return found, links
-        named = found.select("id", "component")
-        labelled = large.join(named, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
-        centers = large.select("bucket", "center").distinct().join(named.withColumnRenamed("id", "center"), "center", "left")
-        homes = centers.select("bucket", F.coalesce("component", "center").alias("home"))
-        mixed = labelled.join(homes, "bucket").withColumn("apart", F.col("own") != F.col("home")).drop("home")
-        open_ = mixed.filter("apart").select("bucket").distinct()
-        placed = stash(mixed.join(open_, "bucket"), name="placed")
-        if placed.isEmpty():
-            return found, links
-        if refine is None or round_ == ROUNDS - 1:
-            break
-        members, more = refine(placed)
-        links = stash(links.union(verify(more)).distinct(), name="links")
-        if members is None:
-            return components(links), links
-    every = placed.select("bucket", "id", "own")
-    apart = placed.filter("apart").select("bucket", F.col("id").alias("x"), F.col("own").alias("own_x"))
-    meets = apart.join(every, "bucket").filter("own_x <> own")
-    rest = meets.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    links = stash(links.union(verify(rest)).distinct(), name="links")
-    return components(links), links
+    confirms among members of shared buckets, ids once per bucket: (bucket, id, weight, n,
+    seen), n being the bucket's members and seen the buckets that an id stands in. They
+    are read several times, so hand over a written table. Returns (components, links), the
+    links being those that were looked for: enough to tell components.
+
+    1. Every bucket gives a star, which joins a group of near copies with as many pairs as
+       it has members.
+    2. Buckets of up to ``small`` members give all pairs that are still in two components.
+    3. In larger ones ``beyond_centers`` names all pairs that can link from the members'
+       sets (``sets_of``: ids (id) in, (id, s) out, s an array of distinct longs), so no
+       link of a bucket is lost, however large it is.
+
+    ``agree`` tells by two values of the column ``sign`` whether a pair is worth
+    comparing; it is asked inside the joins, so no other pair is written."""
+    star = spokes(members)
+    pairs = star.filter("id <> center")
+    if agree is not None:
+        pairs = pairs.filter(agree(F.col("sa"), F.col("sb")))
+    links = stash(verify(pairs.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct()), name="links")
+    found = stash(components(links), name="components")
+
+    labelled = members.filter("n > 2").join(found, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component", "weight", "seen")
+    labelled = stash(labelled, name="labelled")
+    open_ = labelled.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo <> hi").select("bucket")
+    few = labelled.filter(F.col("n") <= small).join(open_, "bucket")
+    names = [c for c in ("id", "own", "sign") if c in few.columns]
+    one = few.select("bucket", *(F.col(c).alias(f"{c}_a") for c in names))
+    two = few.select("bucket", *(F.col(c).alias(f"{c}_b") for c in names))
+    met = one.join(two, "bucket").filter("id_a < id_b and own_a <> own_b")
+    if agree is not None:
+        met = met.filter(agree(F.col("sign_a"), F.col("sign_b")))
+    more = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+    large = labelled.filter(F.col("n") > small)
+    if not large.isEmpty():
+        family = star.filter(F.col("n") > small).select("center", "id").distinct()
+        own = family.join(found, "id", "left").select("center", "id", F.coalesce("component", "id").alias("own"))
+        homes = found.select(F.col("id").alias("center"), F.col("component").alias("home"))
+        placed = own.join(homes, "center", "left").withColumn("apart", F.col("own") != F.coalesce("home", "center")).drop("home")
+        placed = stash(placed, name="placed")
+        placed = stash(placed.join(placed.filter("apart").select("center").distinct(), "center"), name="open")
+        if not placed.isEmpty():
+            wanted = placed.select("id").union(placed.select(F.col("center").alias("id"))).distinct()
+            more = more.union(beyond_centers(placed, stash(sets_of(wanted), name="sets"), percent)).distinct()
+    late = stash(verify(more), name="links")
+    return (found if late.isEmpty() else merged(found, late)), links.union(late)
+
+
+def beyond_centers(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of one family that could link, are in two components and of which
+    one at least is ``apart``. placed: (center, id, own, apart); sets: (id, s).
+
+    Write i, o and m for how many elements of a member stand inside its centre's set,
+    outside it, and are missing of it, t for the threshold. A link needs t of the larger
+    of both sets in common, hence
+
+    * either an outside element in common: then at least t (i + o) - i of them;
+    * or none: then i + i' - n + (missing ones in common) >= t (n + o + o' - missing ones
+      in common), n being the centre's size, so at least n + o - i / t missing ones in
+      common, for either of the two.
+
+    In both cases a member needs only its first elements in one order of all (rarest
+    first) to meet every partner. Elements that no pair of two components shares come
+    first and are left out, so members that differ by edits of their own bring nothing."""
+    blocks = placed.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    dealt = placed.join(blocks, "center").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "id"), "n").cast("int")).drop("n")
+    centers = blocks.join(sets.select(F.col("id").alias("center"), F.col("s").alias("cs")), "center")
+    centers = centers.select("center", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), "cs")
+    both = dealt.join(sets, "id").join(centers, ["center", "block"])
+    split = both.select("center", "id", "own", "apart", F.size("cs").alias("nc"), F.array_except("s", "cs").alias("out"), F.array_except("cs", "s").alias("miss"))
+    split = stash(split.withColumns({"o": F.size("out"), "m": F.size("miss"), "i": F.col("nc") - F.size("miss")}), name="split")
+
+    shared = F.ceil(F.lit(percent) * (F.col("i") + F.col("o")) / 100).cast("int") - F.col("i")
+    outside = _leading(split.filter("o > 0").withColumn("need", F.greatest(F.lit(1), shared)), "out")
+    most = F.least(F.col("i"), F.col("i2")) + F.least(F.col("o"), F.col("o2"))
+    all_ = F.col("i") + F.col("o") + F.col("i2") + F.col("o2")
+    with_one = _meet(outside, most * 100 >= (all_ - most) * percent)
+
+    absent = F.ceil((F.lit(percent) * (F.col("nc") + F.col("o")) - 100 * F.col("i")) / percent).cast("int")
+    able = split.withColumn("need", F.greatest(F.lit(1), absent)).filter("need <= m")
+    missing = _leading(able, "miss")
+    fewest = F.lit(percent) * (F.col("nc") + F.col("o") + F.col("o2")) - 100 * (F.col("nc") - F.col("m") - F.col("m2"))
+    without = _meet(missing, F.least("m", "m2") * (100 + percent) >= fewest)
+    return with_one.union(without).distinct()
+
+
+def _leading(rows: DataFrame, column: str) -> DataFrame:
+    """A row per element of ``column`` that a member has to be met by: of those that two
+    components share all but need - 1, the rarest first."""
+    each = rows.select("center", "id", "own", "apart", "nc", "i", "o", "m", "need", F.explode(column).alias("x"))
+    worth = each.groupBy("center", "x").agg(
+        F.count(F.lit(1)).alias("f"), F.bool_or("apart").alias("any_apart"), F.min("own").alias("lo"), F.max("own").alias("hi")
+    )
+    worth = worth.filter("any_apart and lo <> hi").select("center", "x", "f")
+    member = Window.partitionBy("center", "id")
+    ranked = each.join(worth, ["center", "x"]).withColumns({"at": F.row_number().over(member.orderBy("f", "x")), "of": F.count(F.lit(1)).over(member)})
+    return stash(ranked.filter("at <= of - need + 1").drop("at", "of", "need", "f"), name="leading")
+
+
+def _meet(rows: DataFrame, possible: Column) -> DataFrame:
+    """Pairs (a, b) with an element in common, one of them apart, in two components."""
+    other = rows.select("center", "x", *(F.col(c).alias(f"{c}2") for c in ("id", "own", "i", "o", "m")))
+    met = rows.filter("apart").join(other, ["center", "x"]).filter((F.col("own") != F.col("own2")) & possible)
+    return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()

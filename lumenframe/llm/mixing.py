@@ -164,7 +164,7 @@ def in_order(mixed: DataFrame) -> DataFrame:
     """One row per copy of which at least half is taken, range-sorted by position."""
     each = mixed.withColumn("_copy", F.explode("copies"))
     whole = each.filter(F.col("_copy.words") * 2 >= F.col("size"))
-    return whole.withColumn("position", F.col("_copy.position")).orderBy("position", "doc_id", "_copy.copy").drop("_copy", "copies")
+    return whole.withColumns({"position": F.col("_copy.position"), "copy": F.col("_copy.copy")}).orderBy("position", "doc_id", "copy").drop("_copy", "copies")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

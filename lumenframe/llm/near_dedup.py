@@ -10,16 +10,15 @@ form a class first; only classes go on, so copies never meet in a bucket. A clas
   chosen by a hash of the node's path, so that a pair at the threshold is expected to
   go on in as many children as it came from; repeated trees give the recall;
 * a node still large at ``DEPTH`` holds classes that agree in many tokens. It gives a
-  star from its class of most documents. Members that the star leaves apart can link
-  with another member only if both hold a shingle that the centre lacks, which is then
-  their smaller node (it is branched no further but starred again), or if the counts of
-  shingles inside and outside the centre allow the threshold without one. Both cases
-  are followed, so no link is lost and pairs don't grow with the square of a group.
+  star from its most typical class, which absorbs a group of near copies at once. Members
+  that the star leaves apart can link with another member only if they share enough of
+  the shingles by which they differ from the centre; these pairs are found exactly from
+  the rarest of those (``links.beyond_centers``), so no link of a node is lost and pairs
+  don't grow with the square of a group.
 
 Pairs whose tokens agree too rarely for the threshold are dropped (a pair at the
 threshold stays with a chance over 1 - 1e-6), the others are confirmed on full sets.
-Links are joined by distributed components. Stars tell components, not all links, so
-``n_links`` is counted anew from the full sets of every two classes of a component.
+Links are joined by distributed components.
 
 Recall for one pair at similarity 0.85: it meets at a root's child of one of TREES = 10
 trees with 1 - 0.15^10 = 1 - 6e-9; where those children are large, branching keeps the
@@ -29,8 +28,10 @@ branched twice follows the threshold; at 0.8 a root is missed with 0.2^10 = 1e-7
 
 Defined results: null, empty and blank texts have no set, link with nothing and are
 kept. Null ids: a component takes its least id that isn't null. Rows with equal sets
-are one class, repeated rows too; ``kept`` marks rows whose id is the component's.
-Extra columns pass through, computed names replace columns of the same name.
+are one class, repeated rows too; ``kept`` marks rows whose id is the component's. A
+very long text is worked on whole, by itself, in one task's memory. An empty table gives
+an empty result. Only the id and text columns are read and only the four named columns
+come out, so other columns, whatever their names, can't clash.
 """
 
 from __future__ import annotations
@@ -49,13 +50,10 @@ from lumenframe.llm.links import SMALL, bucket_components
 
 COORDINATES = 40
 TREES = 10
-DEPTH = 5
+DEPTH = 6
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 TOKEN_BYTES = 4
-#: Classes of a component whose links are counted at once, on either side; shingles of a slice of that count.
-BLOCK = 128
-SLICE = 4096
 
 
 def _least_agreement(percent: int) -> int:
@@ -117,7 +115,7 @@ def _token(k):
 
 
 def tree_nodes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Members (bucket, id) of all nodes to be compared. classes: (cid, tokens)."""
+    """Members (bucket, id, n) of all nodes to be compared. classes: (cid, tokens)."""
     roots = F.array(*(F.xxhash64(F.lit(t), _token(t)) for t in range(TREES)))
     level = classes.select(F.explode(roots).alias("bucket"), F.col("cid").alias("id"))
     done = None
@@ -125,7 +123,7 @@ def tree_nodes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared = stash(level.join(sizes, "bucket"), name="nodes")
         ready = shared if depth == DEPTH else shared.filter(F.col("n") <= SMALL)
-        ready = ready.select("bucket", "id")
+        ready = ready.select("bucket", "id", "n")
         done = ready if done is None else done.union(ready)
         if depth == DEPTH:
             break
@@ -161,186 +159,85 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """Per row: id, n_shingles, component_id, n_links (of its class, to other classes) and kept."""
+    """Per row: id, n_shingles, component_id and kept."""
     rows = stash(signatures(df, id_col=id_col, text_col=text_col).withColumn("cid", F.xxhash64("n_shingles", "d1", "d2")), name="signatures")
     full = rows.filter("n_shingles > 0")
-    copies = full.groupBy("cid").agg(F.count(F.lit(1)).alias("copies"))
-    one_each = full.dropDuplicates(["cid"]).select("cid", "tokens", "n_shingles", F.col(id_col).alias("sample_id"))
-    classes = stash(one_each.join(copies, "cid"), name="classes")
-    weights = classes.select(F.col("cid").alias("id"), F.col("copies").alias("weight"))
-    nodes = stash(tree_nodes(classes, percent).join(weights, "id"), name="members")
+    copies = full.groupBy("cid").agg(F.count(F.lit(1)).alias("weight"), F.min(id_col).alias("least"), F.first(F.struct("tokens", "n_shingles", F.col(id_col).alias("sample_id"))).alias("one"))
+    classes = stash(copies.select("cid", "weight", "least", "one.*"), name="classes")
+    weights = classes.select(F.col("cid").alias("id"), "weight")
+    nodes = tree_nodes(classes, percent)
+    seen = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("seen"))
+    nodes = stash(nodes.join(seen.join(weights, "id"), "id"), name="members")
 
     def verify(pairs: DataFrame) -> DataFrame:
         close = stash(_agreeing(pairs, classes, _least_agreement(percent)), name="close")
-        wanted = close.select(F.col("a").alias("cid")).union(close.select(F.col("b").alias("cid"))).distinct()
-        return _confirmed(close, sets(wanted), percent)
+        wanted = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
+        return _confirmed(close, stash(sets(wanted), name="sets"), percent)
 
     def sets(wanted: DataFrame) -> DataFrame:
-        ids = wanted.join(classes.select("cid", "sample_id"), "cid").select("cid", F.col("sample_id").alias(id_col))
+        ids = wanted.join(classes.select(F.col("cid").alias("id"), "sample_id"), "id").select(F.col("id").alias("cid"), F.col("sample_id").alias(id_col))
         return _sets_of(df.select(id_col, text_col), ids, id_col)
 
-    def refine(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        wanted = placed.select(F.col("id").alias("cid")).union(placed.select(F.col("center").alias("cid"))).distinct()
-        return _beyond_center(placed, sets(wanted), percent)
-
-    found, _ = bucket_components(nodes, verify, refine=refine)
-    found = stash(found, name="found")
-    degree = _degrees(found, sets(found.select(F.col("id").alias("cid"))), percent)
-    groups = full.groupBy("cid").agg(F.min(id_col).alias("least"))
-    placed = groups.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    found, _ = bucket_components(nodes, verify, sets, percent=percent)
+    placed = classes.select("cid", "least").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(heads, "component").select("cid", "component_id").join(degree, "cid", "left")
+    named = placed.join(heads, "component").select("cid", "component_id")
     out = rows.select(id_col, "n_shingles", "cid").join(named, "cid", "left")
-    empty = F.col("n_shingles") == 0
-    component = F.when(empty, F.col(id_col)).otherwise(F.col("component_id"))
+    component = F.when(F.col("n_shingles") == 0, F.col(id_col)).otherwise(F.col("component_id"))
     return out.select(
         id_col,
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         (F.col(id_col).eqNullSafe(component)).alias("kept"),
     )
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """(cid, shingles): the full set of each wanted class, from its sample document."""
+    """(id, s): the full set of each wanted class, from its sample document."""
     got = ids.join(docs, ids[id_col].eqNullSafe(docs[id_col])).select("cid", docs.columns[1])
+    schema = "id long, s array<long>, n long, d1 long, d2 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
                 sets = list(kernel.shingle_sets(_utf8(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_class_id(s) for s in sets], pa.binary())], ["cid", "shingles", "digest"])
+                ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
+                flat = pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))
+                digests = np.array([_digest(s) for s in sets], dtype=np.uint64).reshape(-1, 3).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat), *(pa.array(digests[:, k]) for k in range(3))], ["id", "s", "n", "d1", "d2"]
+                )
 
     # a repeated id with another text would bring another set: the digest tells
-    made = got.mapInArrow(run, "cid long, shingles binary, digest binary")
-    n = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    d1 = F.conv(F.hex(F.substring("digest", 9, 8)), 16, -10).cast("long")
-    d2 = F.conv(F.hex(F.substring("digest", 17, 8)), 16, -10).cast("long")
-    return stash(made.filter(F.col("cid") == F.xxhash64(n, d1, d2)).drop("digest"), name="sets").dropDuplicates(["cid"])
-
-
-def _beyond_center(placed: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Smaller nodes (bucket, id, weight) by shingles outside the centre that a member
-    apart shares; and the pairs (a, b) that could link without such a one.
-
-    To link at all a member with i shingles inside and o outside the centre has to share
-    r = p * (i + o) - i outside ones (p the threshold), so its first o - r + 1 in one
-    common order are enough to meet every partner. Shingles with the same holders are one
-    node."""
-    one = sets.select(F.col("cid").alias("id"), F.col("shingles").alias("own_set"))
-    two = sets.select(F.col("cid").alias("center"), F.col("shingles").alias("center_set"))
-    rows = placed.join(one, "id").join(two, "center").select("bucket", "id", "own", "apart", "weight", "own_set", "center_set")
-    schema = "bucket long, id long, own long, apart boolean, weight long, inside long, extra long, outside array<long>"
+    made = got.mapInArrow(run, schema)
+    return made.filter(F.col("id") == F.xxhash64("n", "d1", "d2")).select("id", "s").dropDuplicates(["id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
-                inside, extra, outside = [], [], []
-                for x, c in zip(batch.column(5), batch.column(6), strict=True):
-                    p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, c))
-                    beyond = np.setdiff1d(p, q, assume_unique=True)
-                    inside.append(len(p) - len(beyond))
-                    extra.append(len(beyond))
-                    need = max(1, -(-percent * len(p) // 100) - inside[-1])
-                    outside.append(beyond[: max(0, len(beyond) - need + 1)].view(np.int64))
-                columns = [batch.column(i) for i in range(5)]
-                columns += [pa.array(inside, pa.int64()), pa.array(extra, pa.int64()), pa.array(outside, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["bucket", "id", "own", "apart", "weight", "inside", "extra", "outside"])
-
-    split = stash(rows.mapInArrow(run, schema), name="outside")
-    held = split.select("bucket", "id", "own", "apart", "weight", F.explode("outside").alias("shingle"))
-    holders = F.bit_xor(F.xxhash64("id")).alias("holders")
-    worth = held.groupBy("bucket", "shingle").agg(F.bool_or("apart").alias("open"), F.min("own").alias("lo"), F.max("own").alias("hi"), holders, F.count(F.lit(1)).alias("n"))
-    shared = worth.filter("open and lo <> hi").groupBy("bucket", "holders", "n").agg(F.min("shingle").alias("shingle")).select("bucket", "shingle")
-    smaller = held.join(shared, ["bucket", "shingle"]).select(F.xxhash64("bucket", "shingle").alias("bucket"), "id", "weight")
-    x = split.filter("apart").select("bucket", F.col("id").alias("x"), F.col("own").alias("own_x"), F.col("inside").alias("in_x"), F.col("extra").alias("out_x"))
-    y = split.select("bucket", F.col("id").alias("y"), F.col("own").alias("own_y"), F.col("inside").alias("in_y"), F.col("extra").alias("out_y"))
-    bound = F.least("in_x", "in_y") * 100 >= (F.greatest("in_x", "in_y") + F.col("out_x") + F.col("out_y")) * percent
-    without = x.join(y, "bucket").filter((F.col("own_x") != F.col("own_y")) & bound)
-    return stash(smaller, name="smaller"), without.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def _class_id(s: np.ndarray) -> bytes:
+
+def _digest(s: np.ndarray) -> tuple[int, int, int]:
     d1 = kernel.mix64(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64)
     d2 = kernel.mix64(s + np.uint64(0x7654321)).sum(dtype=np.uint64)
-    return np.array([len(s), d1, d2], dtype=">u8").tobytes()
+    return len(s), int(d1), int(d2)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
+    """Pairs that link by their full sets."""
+    one = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+    two = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb")
 
-    def linked(x: bytes, y: bytes) -> bool:
-        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        return 100 * both >= percent * (len(p) + len(q) - both)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = pa.array([linked(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            linked = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = x.values.to_numpy(), y.values.to_numpy()
+                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+                linked.append(100 * both >= percent * (len(p) + len(q) - both))
+            mask = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _degrees(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, n_links): the links of each class of ``found`` (id, component), counted over
-    all pairs of its component. Components are dealt into blocks, of which each pair is
-    one group of bounded size."""
-    blocks = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    dealt = found.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "id"), "n").cast("int"))
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    pair = each.select(F.col("id").alias("cid"), "component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own")
-    key = ["component", "lo", "hi"]
-    rows = pair.join(sets, "cid").select(*key, "own", "cid", "shingles").repartition(*key).sortWithinPartitions(*key)
-
-    def counted(own: list[int], lo: int, hi: int, held: list[bytes]) -> np.ndarray:
-        n = np.array([len(x) // 8 for x in held])
-        every, at = np.unique(np.frombuffer(b"".join(held), np.uint64), return_inverse=True)
-        row = np.repeat(np.arange(len(n)), n)
-        order = np.argsort(at, kind="stable")
-        at, row = at[order], row[order]
-        side = np.array(own)
-        a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-        both = np.zeros((len(a), len(b)), dtype=np.int64)
-        for first in range(0, len(every), SLICE):
-            i, j = np.searchsorted(at, [first, first + SLICE])
-            has = np.zeros((len(n), min(SLICE, len(every) - first)), dtype=np.float32)
-            has[row[i:j], at[i:j] - first] = 1
-            both += (has[a] @ has[b].T).astype(np.int64)
-        linked = 100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)
-        out = np.zeros(len(n), dtype=np.int64)
-        if lo == hi:
-            out[a] = linked.sum(1) - 1
-        else:
-            out[a], out[b] = linked.sum(1), linked.sum(0)
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own, cids, held = None, [], [], []
-
-        def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(counted(own, now[1], now[2], held))], ["cid", "n"])
-
-        for batch in batches:
-            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
-            for k, o, c, x in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
-                if k != now:
-                    if held:
-                        yield close()
-                    now, own, cids, held = k, [], [], []
-                own.append(o)
-                cids.append(c)
-                held.append(x.as_py())
-        if held:
-            yield close()
-
-    return rows.mapInArrow(run, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n_links"))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=PERCENT).select("doc_id", "n_shingles", "component_id", "n_links", "kept")
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=PERCENT).select("doc_id", "n_shingles", "component_id", "kept")

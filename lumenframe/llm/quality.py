@@ -17,7 +17,8 @@ the words inside 8-word windows that occur again; and the line verdict: failing
 lines hold over ``MAX_LOST_PERCENT`` percent of the characters in words.
 
 Defined results: a null text counts as empty: all counts 0, base_failed true.
-Repeated rows are judged row by row. Other columns pass through untouched; names
+Repeated rows are judged row by row, a very long text whole, in one task's
+memory (a row is never split). Other columns pass through untouched; names
 that this module computes replace columns of the same name. Windows are compared
 as strings to tell whether a text repeats any; inside a text that does, they are
 paired by a 64-bit hash.
@@ -50,6 +51,7 @@ SYMBOLS = r"[#*$%&|<>]"
 SENTENCE_MARK = r"[.!?…。！？:;,]"
 SEPARATORS = "|>»•·"
 SEPARATOR = f"[{SEPARATORS}]"
+#: Phrases of notices and controls in English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved",
     "accept cookies",
@@ -69,6 +71,31 @@ BOILERPLATE = (
     "click here to",
     "skip to content",
     "back to top",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "datenschutzerklärung",
+    "allgemeine geschäftsbedingungen",
+    "newsletter abonnieren",
+    "auf facebook teilen",
+    "zum inhalt springen",
+    "nach oben",
+    "tous droits réservés",
+    "accepter les cookies",
+    "politique de confidentialité",
+    "conditions générales",
+    "mentions légales",
+    "partager sur facebook",
+    "aller au contenu",
+    "haut de page",
+    "todos los derechos reservados",
+    "aceptar cookies",
+    "política de privacidad",
+    "política de cookies",
+    "aviso legal",
+    "términos y condiciones",
+    "compartir en facebook",
+    "saltar al contenido",
+    "volver arriba",
 )
 #: Eight words from a word's start; the match itself takes one word and its blank.
 GRAMS = r"(?=([^ ]++(?: [^ ]++){7}))[^ ]++ ?"
@@ -134,8 +161,11 @@ def repeated_words(grams: Column) -> Column:
 
 def assess(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    lost_chars, kept and clean_text (the passing lines, joined by line feeds)."""
-    made = ["_plain", "_chars", "_lines", "_bad", "_fine", "_grams", "_odd"]
+    lost_chars, kept and clean_text (the passing lines, joined by line feeds).
+
+    Write the result before filtering by ``kept``: a filter above is pushed below the
+    projections and would judge every line anew."""
+    made = ["_plain", "_chars", "_lines", "_judged", "_fine", "_grams", "_odd"]
     text = F.coalesce(F.col(text_col), F.lit(""))
     one = df.drop(*made).withColumns(
         {
@@ -154,24 +184,19 @@ def assess(df: DataFrame, text_col: str = "text") -> DataFrame:
             "word_chars": F.col("_chars").cast("long"),
             "n_words": F.when(F.col("_chars") == 0, F.lit(0)).otherwise(F.length("_plain") - F.col("_chars") + 1).cast("long"),
             "_grams": F.regexp_extract_all("_plain", F.lit(GRAMS), F.lit(1)),
-            "_bad": F.transform("_lines", lambda x: line_fails(x, F.col("_odd"))),
+            "_judged": F.transform("_lines", lambda x: F.struct(x.alias("line"), line_fails(x, F.col("_odd")).alias("bad"))),
             "_fine": F.filter("_lines", lambda x: x.rlike(WORD)),
         }
     )
-    failing = F.filter("_lines", lambda x, i: F.get(F.col("_bad"), i))
-    lost = F.when(
-        F.array_contains("_bad", True),
-        F.aggregate(failing, F.lit(0).cast("long"), lambda acc, x: acc + _bare(x)),
-    ).otherwise(F.lit(0).cast("long"))
+    any_bad = F.exists("_judged", lambda x: x["bad"])
+    lost = F.aggregate("_judged", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["bad"], _bare(x["line"])).otherwise(0))
+    passing = F.transform(F.filter("_judged", lambda x: ~x["bad"]), lambda x: x["line"])
     four = three.withColumns(
         {
             "n_repeat_words": repeated_words(F.col("_grams")),
             "n_dup_lines": (F.size("_fine") - F.size(F.array_distinct("_fine"))).cast("long"),
-            "lost_chars": lost,
-            "clean_text": F.when(
-                F.array_contains("_bad", True),
-                F.array_join(F.filter("_lines", lambda x, i: ~F.get(F.col("_bad"), i)), "\n"),
-            ).otherwise(text),
+            "lost_chars": F.when(any_bad, lost).otherwise(F.lit(0).cast("long")),
+            "clean_text": F.when(any_bad, F.array_join(passing, "\n")).otherwise(text),
         }
     )
     base_failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)

@@ -128,25 +128,13 @@ def test_near_duplicates_in_large_nodes(spark, docs, monkeypatch):
     from lumenframe.llm import links
 
     monkeypatch.setattr(near_dedup, "SMALL", 3)
-    monkeypatch.setattr(links.bucket_components, "__kwdefaults__", {"refine": None, "small": 3})
+    monkeypatch.setattr(links.bucket_components, "__kwdefaults__", {"small": 3, "agree": None})
     texts = corpus(7, n_base=4, copies=40)
     _, want = brute_components(texts)
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(texts)).collect()}
     assert [got[i] for i in range(len(texts))] == want
 
 
-@pytest.mark.parametrize("block", [128, 5])
-def test_near_duplicates_counts_every_link(spark, docs, monkeypatch, block):
-    """In a group of more classes than a node compares exhaustively."""
-    monkeypatch.setattr(near_dedup, "BLOCK", block, raising=False)
-    texts = corpus(3, n_base=3, copies=70)
-    distinct = {frozenset(s) for s in map(shingle_set, texts) if s}
-    want = {s: sum(s != t and 100 * len(s & t) >= 85 * len(s | t) for t in distinct) for s in distinct}
-    assert max(want.values()) > 24
-    got = {r["doc_id"]: r["n_links"] for r in near_dedup.near_duplicates(docs(texts)).collect()}
-    assert got == {i: want.get(frozenset(shingle_set(t)), 0) for i, t in enumerate(texts)}
-
-
 def test_near_duplicates_edges(spark, docs):
     assert near_dedup.near_duplicates(docs([]).limit(0)).count() == 0
     rows = near_dedup.near_duplicates(docs([(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, None)])).collect()
