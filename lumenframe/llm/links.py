@@ -18,6 +18,8 @@ SMALL = 24
 MAX_ROUNDS = 40
 #: Members of a family that meet their centre's set in one group.
 BLOCK = 256
+#: Differences of at most so many elements are carried into the join that compares them.
+CARRIED = 128
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -96,7 +98,8 @@ def bucket_components(
     2. Buckets of up to ``small`` members give all pairs that are still in two components.
     3. In larger ones ``beyond_centers`` names all pairs that can link from the members'
        sets (``sets_of``: ids (id) in, (id, s) out, s an array of distinct longs), so no
-       link of a bucket is lost, however large it is.
+       link of a bucket is lost, however large it is. Buckets whose centres are of one
+       component are taken together, with the most typical centre.
 
     ``agree`` tells by two values of the column ``sign`` whether a pair is worth
     comparing; it is asked inside the joins, so no other pair is written."""
@@ -123,8 +126,13 @@ def bucket_components(
     if not large.isEmpty():
         family = star.filter(F.col("n") > small).select("center", "id").distinct()
         own = family.join(found, "id", "left").select("center", "id", F.coalesce("component", "id").alias("own"))
+        # centres of one component stand for one group: the most typical of them takes all
         homes = found.select(F.col("id").alias("center"), F.col("component").alias("home"))
-        placed = own.join(homes, "center", "left").withColumn("apart", F.col("own") != F.coalesce("home", "center")).drop("home")
+        rank = members.filter(F.col("n") > small).select(F.col("id").alias("center"), "seen", "weight").distinct()
+        centers = family.select("center").distinct().join(homes, "center", "left").withColumn("home", F.coalesce("home", "center"))
+        heads = centers.join(rank, "center").groupBy("home").agg(F.max(F.struct("seen", "weight", "center"))["center"].alias("head"))
+        named = centers.join(heads, "home").select("center", "home", "head")
+        placed = own.join(named, "center").select(F.col("head").alias("center"), "id", "own", (F.col("own") != F.col("home")).alias("apart")).distinct()
         placed = stash(placed, name="placed")
         placed = stash(placed.join(placed.filter("apart").select("center").distinct(), "center"), name="open")
         if not placed.isEmpty():
@@ -157,18 +165,19 @@ def beyond_centers(placed: DataFrame, sets: DataFrame, percent: int) -> DataFram
     both = dealt.join(sets, "id").join(centers, ["center", "block"])
     split = both.select("center", "id", "own", "apart", F.size("cs").alias("nc"), F.array_except("s", "cs").alias("out"), F.array_except("cs", "s").alias("miss"))
     split = stash(split.withColumns({"o": F.size("out"), "m": F.size("miss"), "i": F.col("nc") - F.size("miss")}), name="split")
+    short = split.filter(F.col("o") + F.col("m") <= CARRIED).select("center", "id", F.struct("out", "miss").alias("d"))
 
     shared = F.ceil(F.lit(percent) * (F.col("i") + F.col("o")) / 100).cast("int") - F.col("i")
     outside = _leading(split.filter("o > 0").withColumn("need", F.greatest(F.lit(1), shared)), "out")
     most = F.least(F.col("i"), F.col("i2")) + F.least(F.col("o"), F.col("o2"))
     all_ = F.col("i") + F.col("o") + F.col("i2") + F.col("o2")
-    with_one = _meet(outside, most * 100 >= (all_ - most) * percent)
+    with_one = _meet(outside, short, percent, most * 100 >= (all_ - most) * percent)
 
     absent = F.ceil((F.lit(percent) * (F.col("nc") + F.col("o")) - 100 * F.col("i")) / percent).cast("int")
     able = split.withColumn("need", F.greatest(F.lit(1), absent)).filter("need <= m")
     missing = _leading(able, "miss")
     fewest = F.lit(percent) * (F.col("nc") + F.col("o") + F.col("o2")) - 100 * (F.col("nc") - F.col("m") - F.col("m2"))
-    without = _meet(missing, F.least("m", "m2") * (100 + percent) >= fewest)
+    without = _meet(missing, short, percent, F.least("m", "m2") * (100 + percent) >= fewest)
     return with_one.union(without).distinct()
 
 
@@ -185,8 +194,16 @@ def _leading(rows: DataFrame, column: str) -> DataFrame:
     return stash(ranked.filter("at <= of - need + 1").drop("at", "of", "need", "f"), name="leading")
 
 
-def _meet(rows: DataFrame, possible: Column) -> DataFrame:
-    """Pairs (a, b) with an element in common, one of them apart, in two components."""
-    other = rows.select("center", "x", *(F.col(c).alias(f"{c}2") for c in ("id", "own", "i", "o", "m")))
-    met = rows.filter("apart").join(other, ["center", "x"]).filter((F.col("own") != F.col("own2")) & possible)
+def _meet(rows: DataFrame, short: DataFrame, percent: int, possible: Column) -> DataFrame:
+    """Pairs (a, b) with an element in common, one of them apart, in two components. Where
+    both differ little from their centre (``short``: center, id, d) the differences tell
+    inside the join whether they link; longer ones are left to the verification."""
+    rows = rows.join(short, ["center", "id"], "left")
+    names = ("id", "own", "i", "o", "m", "d")
+    other = rows.select("center", "x", *(F.col(c).alias(f"{c}2") for c in names))
+    both = F.col("i") + F.col("i2") - F.col("nc")
+    both = both + F.size(F.array_intersect("d.miss", "d2.miss")) + F.size(F.array_intersect("d.out", "d2.out"))
+    either = F.col("i") + F.col("o") + F.col("i2") + F.col("o2") - both
+    linked = F.col("d").isNull() | F.col("d2").isNull() | (both * 100 >= either * percent)
+    met = rows.filter("apart").join(other, ["center", "x"]).filter((F.col("own") != F.col("own2")) & possible & linked)
     return met.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()

@@ -17,7 +17,7 @@ form a class first; only classes go on, so copies never meet in a bucket. A clas
   don't grow with the square of a group.
 
 Pairs whose tokens agree too rarely for the threshold are dropped (a pair at the
-threshold stays with a chance over 1 - 1e-6), the others are confirmed on full sets.
+threshold stays with a chance over 1 - 1e-4), the others are confirmed on full sets.
 Links are joined by distributed components.
 
 Recall for one pair at similarity 0.85: it meets at a root's child of one of TREES = 10
@@ -46,20 +46,22 @@ from pyspark.sql import types as T
 
 from lumenframe.llm import kernel
 from lumenframe.llm.common import stash, table
-from lumenframe.llm.links import SMALL, bucket_components
+from lumenframe.llm.links import bucket_components
 
 COORDINATES = 40
 TREES = 10
 DEPTH = 6
+#: A node of at most so many classes is compared exhaustively.
+SMALL = 10
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 TOKEN_BYTES = 4
 
 
 def _least_agreement(percent: int) -> int:
-    """Tokens that agree at the threshold, less five and a half deviations."""
+    """Tokens that agree at the threshold, less 4.2 deviations."""
     p = percent / 100
-    return max(1, int(COORDINATES * p - 5.5 * (COORDINATES * p * (1 - p)) ** 0.5))
+    return max(1, int(COORDINATES * p - 4.2 * (COORDINATES * p * (1 - p)) ** 0.5))
 
 
 def _twice(percent: int) -> int:
@@ -178,7 +180,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         ids = wanted.join(classes.select(F.col("cid").alias("id"), "sample_id"), "id").select(F.col("id").alias("cid"), F.col("sample_id").alias(id_col))
         return _sets_of(df.select(id_col, text_col), ids, id_col)
 
-    found, _ = bucket_components(nodes, verify, sets, percent=percent)
+    found, _ = bucket_components(nodes, verify, sets, percent=percent, small=SMALL)
     placed = classes.select("cid", "least").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = placed.join(heads, "component").select("cid", "component_id")

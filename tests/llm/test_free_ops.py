@@ -125,10 +125,7 @@ def test_near_duplicates(spark, docs):
 
 def test_near_duplicates_in_large_nodes(spark, docs, monkeypatch):
     """With tiny nodes every group has to branch, to be starred and then completed."""
-    from lumenframe.llm import links
-
     monkeypatch.setattr(near_dedup, "SMALL", 3)
-    monkeypatch.setattr(links.bucket_components, "__kwdefaults__", {"small": 3, "agree": None})
     texts = corpus(7, n_base=4, copies=40)
     _, want = brute_components(texts)
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(texts)).collect()}
