@@ -24,7 +24,9 @@ searched whole.
 Defined results: null or empty texts have no spans; if nothing can be fitted the
 prior weights stand; offsets count code points, ends are exclusive. Documents are
 independent rows: no exchange besides the pick of the sample. Repeated rows repeat,
-extra columns pass through, computed names replace columns of the same name.
+extra columns pass through, computed names replace columns of the same name. Very long
+texts are worked on whole, in time that grows with their length. The counts n_email,
+n_ip, n_card and n_phone take all spans, base ones and added ones.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 #: The sample that the weights are fitted on.
 SAMPLE_ROWS = 2000
+SAMPLE_CHARS = 20_000
 REACH = 40
 ROUNDS = 12
 DAMPING = 0.3
@@ -51,13 +54,15 @@ MIN_PROBABILITY = 0.9
 #: Prior means of the diagonal of the two pair tables.
 CHAIN_PRIOR, SKIP_PRIOR = 0.2, 6.0
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DIGITS = re.compile(r"[0-9]+")
+IP = re.compile(r"[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Candidates beyond the base: number-like runs, and addresses spelled with other marks.
 NUMBER = re.compile(r"\+?\(?[0-9][0-9().\x20/-]{5,}[0-9]")
-ADDRESS = re.compile(r"[A-Za-z0-9._%+-]{2,}(?:@|\x20?[\[({]at[\])}]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({]dot[\])}]\x20?)[A-Za-z0-9-]+)*")
+ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}(?:@|\x20?[\[({]at[\])}]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[({]dot[\])}]\x20?)[A-Za-z0-9-]+)*")
 MAYBE_ADDRESS = re.compile(r"@|[\[({]at[\])}]")
 DIGIT = re.compile(r"[0-9]")
 CUES = {
@@ -82,16 +87,44 @@ def _is_ip(text: str) -> bool:
     return all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in text.split("."))
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The leftmost non-overlapping matches of an address, found from each at sign
+    outward: every character is read a fixed number of times, however long a run is."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        domain = DOMAIN.match(text, at + 1)
+        if domain:
+            start = at
+            while start > last and text[start - 1] in LOCAL:
+                start -= 1
+            if start < at:
+                yield start, domain.end()
+                last = domain.end()
+        at = text.find("@", max(at + 1, last))
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """The leftmost non-overlapping matches of four dotted runs of digits; only the first
+    digit of a run can begin one, as any later one would fail or match like it."""
+    last = 0
+    for run in DIGITS.finditer(text):
+        if run.start() >= last:
+            m = IP.match(text, run.start())
+            if m:
+                yield m.span()
+                last = m.end()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), by kind and then start. Matches are leftmost and do not
     overlap within a kind; failing matches are dropped without another try."""
     out = []
     if "@" in text:
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+        out += [(0, s, e) for s, e in _emails(text)]
     if not DIGIT.search(text):
         return out
     if text.count(".") > 2:
-        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if _is_ip(m.group())]
+        out += [(1, s, e) for s, e in _ips(text) if _is_ip(text[s:e])]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m.group().replace(" ", "").replace("-", "")
@@ -290,8 +323,9 @@ def added_spans(text: str, base: list[tuple[int, int, int]], w: dict[str, np.nda
 
 
 def fit_on(df: DataFrame, *, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
-    """Weights fitted on at most ``sample_rows`` documents with a digit or an at sign."""
-    able = df.filter(F.col(text_col).rlike(r"@|\+[0-9]|[0-9]{4}|[0-9]\.[0-9]"))
+    """Weights fitted on at most ``sample_rows`` documents with a digit or an at sign, each
+    of ``SAMPLE_CHARS`` code points at most, so that the sample's bytes are bounded too."""
+    able = df.filter(F.char_length(text_col) <= SAMPLE_CHARS).filter(F.col(text_col).rlike(r"@|\+[0-9]|[0-9]{4}|[0-9]\.[0-9]"))
     hashed = able.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
     n = able.count()
     if n > 4 * sample_rows:  # about four times as many by hash, so that few rows meet in the pick

@@ -252,3 +252,35 @@ def test_components_raise_where_they_have_not_settled(spark, monkeypatch):
     monkeypatch.setattr(links, "MAX_ROUNDS", 2)
     with pytest.raises(RuntimeError, match="settled"):
         links.components(path)
+
+
+def test_base_spans_equal_the_patterns():
+    """All four kinds against plain searches by the contract's patterns."""
+    import re
+
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card = re.compile(r"[0-9]([\x20-]?[0-9])+")
+    phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def plain(text):
+        out = [(0, *m.span()) for m in email.finditer(text)]
+        out += [(1, *m.span()) for m in ip.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+        digits = lambda m: re.sub("[^0-9]", "", m.group())
+        out += [(2, *m.span()) for m in card.finditer(text) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+        return out + [(3, *m.span()) for m in phone.finditer(text) if 9 <= len(digits(m)) <= 15]
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("a1.@-+ %é(4)0") for _ in range(rng.randint(0, 60))) for _ in range(20000)]
+    texts += ["a@b.c%d@e.f", "a@b.cd@e.fg", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111 +49 (30) 123456", "x@y", "@a.b"]
+    for t in texts:
+        assert pii.base_spans(t) == plain(t), t
+
+
+def test_base_spans_of_long_runs():
+    import time
+
+    began = time.perf_counter()
+    assert pii.base_spans("a" * 500_000 + " x@y.de") == [(0, 500_001, 500_007)]
+    assert pii.base_spans("1" * 300_000 + " 1.2.3.4")[0] == (1, 300_001, 300_008)
+    assert time.perf_counter() - began < 20
