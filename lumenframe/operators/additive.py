@@ -23,10 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.operators.profile import col
+from lumenframe.operators.split import numbered
 
 BAG_ROWS = 1_000_000
-#: Equal rows that are made again at once.
-RUN = 65_536
 
 
 @dataclass
@@ -250,12 +249,10 @@ def _bagged(binned: DataFrame, bags: int, seed: int, n: int, bag_rows: int) -> D
     """Each bag's rows: all of them, or a share by hash that keeps about ``bag_rows``.
 
     Equal rows are told apart by their number among each other, so every combination
-    keeps its share in a bag. They are counted and made again, ``RUN`` at once."""
+    keeps its share in a bag."""
     out = binned
     if n > bag_rows:
-        counted = binned.groupBy(*binned.columns).agg(F.count(F.lit(1)).alias("_n"))
-        runs = counted.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))))
-        out = runs.withColumn("_nth", F.explode(F.sequence("_first", F.least(F.col("_first") + RUN, "_n") - 1)))
+        out = numbered(binned)
     out = out.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1))))
     if n > bag_rows:
         share = int(bag_rows / n * 1_000_000)

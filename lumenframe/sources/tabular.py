@@ -23,7 +23,7 @@ NA_TOKENS = (
 NUMBER = r"^\s*[-+]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[iI]nf(?:inity)?)\s*$"
 INTEGER = r"^\s*[-+]?\d{1,18}\s*$"
 BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
-EXCEL_SUFFIXES = (".xlsx", ".xlsm", ".xls")
+EXCEL_SUFFIXES = (".xlsx", ".xlsm")
 MAX_MB = 200
 
 
@@ -140,7 +140,7 @@ def guard_path(path: str, roots: list[Path], max_mb: float = MAX_MB) -> Path:
     lies outside the roots gets one answer, whether it exists or not."""
     given = Path(path).expanduser()
     if given.suffix.lower() not in (".csv", *EXCEL_SUFFIXES):
-        raise ValueError("only .csv, .xlsx, .xlsm and .xls files can be read")
+        raise ValueError("only .csv, .xlsx and .xlsm files can be read")
     real = Path(os.path.realpath(given))
     if not any(real.is_relative_to(Path(os.path.realpath(r))) for r in roots):
         raise ValueError("path is outside the allowed directories")

@@ -262,3 +262,25 @@ def test_bags_sample_rows_not_combinations(spark, monkeypatch):
     assert all(abs(got[c] - p) < 0.06 for c, p in positive.items()), got
     seen = [r["n"] for r in additive._bagged(df, 2, 1, 20_000, 4000).groupBy("bag").agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(seen) == 2 and all(abs(n - 4000) < 300 for n in seen)
+
+
+def test_samples_tell_repeated_rows_apart(spark):
+    """Equal rows are rows by themselves: a sample and a holdout take some of each."""
+    df = spark.range(20_000).select((F.col("id") % 10).alias("x"), (F.col("id") % 2).cast("int").alias("y"))
+    got = {r["x"]: r["count"] for r in split.uniform_sample(df, 2000).groupBy("x").count().collect()}
+    assert sum(got.values()) == 2000 and len(got) == 10 and all(120 < n < 280 for n in got.values())
+    held = split.random_holdout(df, 0.2).filter("is_holdout").groupBy("x").count().collect()
+    assert sum(r["count"] for r in held) == 4000 and len(held) == 10 and all(280 < r["count"] < 520 for r in held)
+
+
+def test_not_a_number_is_no_class(spark):
+    df = spark.createDataFrame([(1.0,), (0.0,), (float("nan"),), (None,)], "t double")
+    assert validate.class_labels(df, "t") == [0.0, 1.0]
+    assert sorted(r["y"] for r in validate.encode_labels(df, "t", [0.0, 1.0]).collect()) == [0, 1]
+
+
+def test_infinite_cells_are_no_labels():
+    from lumenframe.sources import grid
+
+    assert not grid.is_label(float("inf")) and not grid.is_label(float("nan"))
+    assert grid.header_text(float("inf")) == "inf"
