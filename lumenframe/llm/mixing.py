@@ -19,7 +19,7 @@ the words up to there, so a source's taken words equal its rounded target.
 Defined results: a null text has size 0; documents of size 0 take 0 words and stand
 at their place in the order; an empty table gives no rows; repeated rows are
 separate documents; a null doc_id hashes as an empty one. Computed names replace
-columns of the same name, other columns pass through.
+columns of the same name, other columns pass through. A very long text is counted whole.
 The table of sources (one row per source, not per document) is ordered in one task.
 """
 
@@ -110,35 +110,39 @@ def _knots(place: Column, schedules) -> Column:
     return pick
 
 
+#: Columns that exist while a mix is worked out; columns of the input by these names go.
+INNER = ("_key", "_source", "_nth", "_ranges", "_range", "_sum", "_run", "_place", "_at", "_start", "_before", "_demand", "_copy")
+
+
 def mix(df: DataFrame, *, text_col: str = "text", weights=WEIGHTS, schedules=SCHEDULES, epochs: float = EPOCHS, max_repeats: int = MAX_REPEATS, seed: str = "mix-1") -> DataFrame:
     """Add size, source_size, target, taken, copies (struct of copy, words, position:
     what is taken of each copy, and when), and position (of the first copy taken, null
     if none is). Needs doc_id and source; rows come unsorted (see ``in_order``)."""
     made = ["size", "source_size", "target", "taken", "copies", "position"]
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)))
-    sized = df.drop(*made, "_key").withColumns(
+    sized = df.drop(*made, *INNER).withColumns(
         {"size": F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"), "_key": key}
     )
     targets = source_targets(sized.select("source", "size"), weights=weights, epochs=epochs, max_repeats=max_repeats)
     named = targets.select(
-        F.col("source").alias("_source"), "source_size", "target", "place", (F.floor(F.col("source_rows") / RANGE_ROWS) + 1).alias("_ranges")
+        F.col("source").alias("_source"), "source_size", "target", F.col("place").alias("_nth"), (F.floor(F.col("source_rows") / RANGE_ROWS) + 1).alias("_ranges")
     )
     # one row per source: small by kind, but its size is not assumed; the join adapts
     rows = sized.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     head = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
     ranged = rows.withColumn("_range", F.floor(head * F.col("_ranges") / F.lit(2**32)))
-    sums = ranged.groupBy("place", "_range").agg(F.sum("size").alias("_sum"))
+    sums = ranged.groupBy("_nth", "_range").agg(F.sum("size").alias("_sum"))
     starts = sums.select(
-        F.col("place").alias("_place"),
+        F.col("_nth").alias("_place"),
         F.col("_range").alias("_at"),
-        (F.sum("_sum").over(Window.partitionBy("place").orderBy("_range")) - F.col("_sum")).alias("_start"),
+        (F.sum("_sum").over(Window.partitionBy("_nth").orderBy("_range")) - F.col("_sum")).alias("_start"),
     )
-    inside = Window.partitionBy("place", "_range").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size")
+    inside = Window.partitionBy("_nth", "_range").orderBy("_key", F.col("doc_id").asc_nulls_first(), "size")
     placed = ranged.withColumn("_run", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    summed = placed.join(starts, (F.col("place") == F.col("_place")) & (F.col("_range") == F.col("_at")))
+    summed = placed.join(starts, (F.col("_nth") == F.col("_place")) & (F.col("_range") == F.col("_at")))
     before = F.col("_start") + F.col("_run")
     demand = F.round("target").cast("long")
-    knots = _knots(F.col("place"), schedules)
+    knots = _knots(F.col("_nth"), schedules)
     copy = F.transform(
         F.sequence(F.lit(0), F.lit(max_repeats - 1)),
         lambda k: F.struct(
@@ -157,7 +161,7 @@ def mix(df: DataFrame, *, text_col: str = "text", weights=WEIGHTS, schedules=SCH
             "taken": F.aggregate("copies", F.lit(0).cast("long"), lambda acc, c: acc + c["words"]),
             "position": F.get("copies", 0)["position"],
         }
-    ).drop("_key", "_ranges", "_range", "_sum", "_run", "_place", "_at", "_start", "_before", "_demand", "place")
+    ).drop(*INNER)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ Nothing is sampled away: the result is that of comparing all windows. Equality g
 
 Defined results: a null or empty text has no bytes; texts under LENGTH bytes lose none;
 matches never cross texts; repeated rows are copies of each other and lose everything if
-long enough. Bytes are cut anywhere, so the kept bytes need not be UTF-8. Extra columns
-pass through, computed names replace columns of the same name.
+long enough. Bytes are cut anywhere, so the kept bytes need not be UTF-8. Only the text
+column is read and only k1, k2, spans and kept come out, so other columns can't clash.
 """
 
 from __future__ import annotations

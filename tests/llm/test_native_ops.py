@@ -199,3 +199,17 @@ def test_line_dedup_edges(spark, docs):
     same = line_dedup.dedup_lines(docs([(1, "a line of words"), (1, "a line of words"), (None, "a line of words")])).collect()
     assert sorted((r["doc_id"] is None, r["n_removed"]) for r in same) == [(False, 0), (False, 0), (True, 1)]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_mixing_with_clashing_columns(spark):
+    """Columns by the names that the operator works with neither crash nor change a mix."""
+    rows = spark.createDataFrame([(i, "some words of a text " * (i % 5 + 1), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    plain = {r["doc_id"]: r["taken"] for r in mixing.mix(rows).collect()}
+    clash = rows
+    for name in ("place", "size", "position", "copies", "source_rows", *mixing.INNER):
+        clash = clash.withColumn(name, rows["doc_id"])
+    got = mixing.mix(clash)
+    assert "place" in got.columns and not set(mixing.INNER) & set(got.columns)
+    assert {r["doc_id"]: r["taken"] for r in got.collect()} == plain
+    assert mixing.in_order(got).count() > 0
+    assert mixing.mix(rows.limit(0)).count() == 0
