@@ -71,6 +71,11 @@ BAD_NAMES = frozenset(
     "footer header masthead topbar toolbar comment comments commentlist disqus replies reply respond discussion "
     "share sharing social related recommended recommendations popular trending copyright disclaimer search login".split()
 )
+#: First words of names that tell of another part of the page.
+MODIFIERS = frozenset("has with without no not is".split())
+#: Names of articles, and words that are topics in front of one.
+CONTENT_NAMES = frozenset("article content entry post story".split())
+TOPICS = frozenset("search social popular related recommended".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog toolbar".split())
 
 _TOKEN = re.compile(r"<(?:!--|/?[a-zA-Z]|[!?])")
@@ -81,6 +86,19 @@ _NAME_SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 
+def _bad_name(token: str) -> bool:
+    """Whether a class or id names an unwanted part. Its first and its last word tell what
+    it is; words between them, and names that only tell of another part (has-sidebar), don't.
+    An article's own header, or an article among search results or on social matters, stays."""
+    words = [w.lower() for w in _NAME_SPLIT.split(token) if w]
+    if not words or words[0] in MODIFIERS:
+        return False
+    first, last = words[0], words[-1]
+    if first in CONTENT_NAMES and last == "header" or first in TOPICS and last in CONTENT_NAMES:
+        return False
+    return first in BAD_NAMES or last in BAD_NAMES
+
+
 def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not in_article):
         return True
@@ -92,7 +110,7 @@ def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            if not BAD_NAMES.isdisjoint(x.lower() for x in _NAME_SPLIT.split(value)):
+            if any(map(_bad_name, value.split())):
                 return True
         elif (name == "role" and value.lower() in BAD_ROLES) or (name == "aria-hidden" and value.lower() == "true"):
             return True
@@ -105,7 +123,11 @@ class _Node:
     def __init__(self, tag: str, parent: _Node | None, index: int, bad: bool):
         self.tag, self.parent, self.index = tag, parent, index
         self.block = tag in BLOCKS
-        self.bad = bad or (parent is not None and parent.bad)
+        # an article inside a page-wide form is an article; the form's other parts are not
+        above = parent.bad if parent is not None else False
+        if above == "form" and tag in ("article", "main"):
+            above = False
+        self.bad = above if above is True or not bad else "form" if tag == "form" else True
         self.link = tag == "a" or (parent is not None and parent.link)
         self.article = tag in ("article", "main") or (parent is not None and parent.article)
         above = parent.path if parent is not None else ""

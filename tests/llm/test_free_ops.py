@@ -284,3 +284,11 @@ def test_base_spans_of_long_runs():
     assert pii.base_spans("a" * 500_000 + " x@y.de") == [(0, 500_001, 500_007)]
     assert pii.base_spans("1" * 300_000 + " 1.2.3.4")[0] == (1, 300_001, 300_008)
     assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("opening", ["<div class='content has-sidebar'>", "<div class='search-result-article'>", "<div class='section-social-affairs'>", "<form action='/'><main>"])
+def test_html_containers_of_an_article_stay(opening):
+    prose = ["The first paragraph of the article tells, at some length, what happened.", "The second one, a little longer than the first, says why it did, and to whom."]
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{opening}<div class='entry-header'><h1>A title, and more</h1></div><p>{prose[0]}</p><p>{prose[1]}</p>"
+    page += "<div class='cookie-bar'>We use cookies, as you know.</div><div class='post-comments'>Nice article, thank you.</div></body></html>"
+    assert html_extract.extract(page) == "\n\n".join(["A title, and more", *prose])
