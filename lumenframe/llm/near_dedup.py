@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.llm import kernel
-from lumenframe.llm.common import stash, table
+from lumenframe.llm.common import scratch, stash, table
 from lumenframe.llm.links import bucket_components
 
 COORDINATES = 40
@@ -162,28 +162,29 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: id, n_shingles, component_id and kept."""
-    rows = stash(signatures(df, id_col=id_col, text_col=text_col).withColumn("cid", F.xxhash64("n_shingles", "d1", "d2")), name="signatures")
-    full = rows.filter("n_shingles > 0")
-    copies = full.groupBy("cid").agg(F.count(F.lit(1)).alias("weight"), F.min(id_col).alias("least"), F.first(F.struct("tokens", "n_shingles", F.col(id_col).alias("sample_id"))).alias("one"))
-    classes = stash(copies.select("cid", "weight", "least", "one.*"), name="classes")
-    weights = classes.select(F.col("cid").alias("id"), "weight")
-    nodes = tree_nodes(classes, percent)
-    seen = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("seen"))
-    nodes = stash(nodes.join(seen.join(weights, "id"), "id"), name="members")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        close = stash(_agreeing(pairs, classes, _least_agreement(percent)), name="close")
-        wanted = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
-        return _confirmed(close, stash(sets(wanted), name="sets"), percent)
-
-    def sets(wanted: DataFrame) -> DataFrame:
-        ids = wanted.join(classes.select(F.col("cid").alias("id"), "sample_id"), "id").select(F.col("id").alias("cid"), F.col("sample_id").alias(id_col))
-        return _sets_of(df.select(id_col, text_col), ids, id_col)
-
-    found, _ = bucket_components(nodes, verify, sets, percent=percent, small=SMALL)
-    placed = classes.select("cid", "least").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(heads, "component").select("cid", "component_id")
+    with scratch(df.sparkSession) as keep:
+        rows = keep(stash(signatures(df, id_col=id_col, text_col=text_col).withColumn("cid", F.xxhash64("n_shingles", "d1", "d2")), name="signatures"))
+        full = rows.filter("n_shingles > 0")
+        copies = full.groupBy("cid").agg(F.count(F.lit(1)).alias("weight"), F.min(id_col).alias("least"), F.first(F.struct("tokens", "n_shingles", F.col(id_col).alias("sample_id"))).alias("one"))
+        classes = stash(copies.select("cid", "weight", "least", "one.*"), name="classes")
+        weights = classes.select(F.col("cid").alias("id"), "weight")
+        nodes = tree_nodes(classes, percent)
+        seen = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("seen"))
+        nodes = stash(nodes.join(seen.join(weights, "id"), "id"), name="members")
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            close = stash(_agreeing(pairs, classes, _least_agreement(percent)), name="close")
+            wanted = close.select(F.col("a").alias("id")).union(close.select(F.col("b").alias("id"))).distinct()
+            return _confirmed(close, stash(sets(wanted), name="sets"), percent)
+
+        def sets(wanted: DataFrame) -> DataFrame:
+            ids = wanted.join(classes.select(F.col("cid").alias("id"), "sample_id"), "id").select(F.col("id").alias("cid"), F.col("sample_id").alias(id_col))
+            return _sets_of(df.select(id_col, text_col), ids, id_col)
+
+        found, _ = bucket_components(nodes, verify, sets, percent=percent, small=SMALL)
+        placed = classes.select("cid", "least").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        heads = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = keep(stash(placed.join(heads, "component").select("cid", "component_id"), name="named"))
     out = rows.select(id_col, "n_shingles", "cid").join(named, "cid", "left")
     component = F.when(F.col("n_shingles") == 0, F.col(id_col)).otherwise(F.col("component_id"))
     return out.select(
