@@ -73,6 +73,48 @@ def test_line_dedup_verifies_few_pairs_of_a_family(spark, docs, monkeypatch):
     assert asked[1] < 100
 
 
+def test_group_apart_from_its_centre_gives_few_pairs(spark):
+    """Members that link with each other and not with the centre: as many pairs as members, not their square."""
+    rng, n = random.Random(9), 300
+    centre = [hash_(k) for k in range(200)]
+    common = [hash_(1000 + k) for k in range(25)]
+    sets = {0: set(centre)}
+    for i in range(1, n + 1):
+        sets[i] = set(centre[:180]) - {rng.choice(centre[:180])} | set(rng.sample(common, 24)) | {hash_(10_000 + i)}
+    # two that link with each other only, and one that links with nothing
+    alone = [hash_(50_000 + k) for k in range(40)]
+    sets[n + 1], sets[n + 2] = set(centre[:150]) | set(alone), set(centre[:150]) | set(alone[:38])
+    sets[n + 3] = set(centre[:150]) | {hash_(60_000 + k) for k in range(40)}
+    link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    assert not any(link(0, i) for i in range(1, n + 4)) and sum(link(1, i) for i in range(2, n + 1)) > 0.9 * n
+    placed = spark.createDataFrame([(0, i, i, i != 0) for i in sets], "center long, id long, own long, apart boolean")
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<long>")
+    rows = links.beyond_centers(placed, frame, 85)
+    pairs = {(r["a"], r["b"]) for r in rows.collect()}
+    near = {i: {j for j in sets if j != i and link(i, j)} for i in sets}
+
+    def reach(step):
+        groups, seen = set(), set()
+        for i in sets:
+            todo, group = [i], set()
+            while todo:
+                if (x := todo.pop()) not in group:
+                    group.add(x)
+                    todo.extend(step[x])
+            if i not in seen:
+                groups.add(frozenset(group))
+                seen |= group
+        return groups
+
+    got = {i: set() for i in sets}
+    for a, b in pairs:
+        if link(a, b):
+            got[a].add(b)
+            got[b].add(a)
+    assert reach(got) == reach(near)
+    assert len(pairs) < 3 * links.HUBS * n
+
+
 def test_forest_sample_is_filtered_before_it_is_sorted(spark):
     vectors = spark.range(20_000, numPartitions=8).select(F.array(F.col("id").cast("double")).alias("v"))
     plain = [r["v"] for r in vectors.orderBy(F.xxhash64("v")).limit(300).collect()]
