@@ -120,6 +120,7 @@ def tree_nodes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Members (bucket, id, n) of all nodes to be compared. classes: (cid, tokens)."""
     roots = F.array(*(F.xxhash64(F.lit(t), _token(t)) for t in range(TREES)))
     level = classes.select(F.explode(roots).alias("bucket"), F.col("cid").alias("id"))
+    tokens = classes.select(F.col("cid").alias("id"), "tokens")
     done = None
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -129,9 +130,12 @@ def tree_nodes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         done = ready if done is None else done.union(ready)
         if depth == DEPTH:
             break
-        large = shared.filter(F.col("n") > SMALL).select("bucket", "id")
+        large = shared.filter(F.col("n") > SMALL).drop("n")
         if large.isEmpty():
             break
+        if depth == 1:
+            # from here on the tokens go with the members of large nodes
+            large = large.join(tokens, "id")
         free = COORDINATES - TREES
         path = F.xxhash64("bucket", F.lit(depth))
         one = F.pmod(path, F.lit(free)) + TREES
@@ -139,8 +143,8 @@ def tree_nodes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
         two = F.pmod(one - TREES + step, F.lit(free)) + TREES
         again = F.pmod(F.shiftright(path, 40), F.lit(100)) < _twice(percent)
         chosen = F.explode(F.when(again, F.array(one, two)).otherwise(F.array(one)))
-        branched = large.join(classes.select(F.col("cid").alias("id"), "tokens"), "id").withColumn("k", chosen)
-        level = branched.select(F.xxhash64("bucket", "k", _token(F.col("k").cast("int"))).alias("bucket"), "id")
+        branched = large.withColumn("k", chosen)
+        level = branched.select(F.xxhash64("bucket", "k", _token(F.col("k").cast("int"))).alias("bucket"), "id", "tokens")
     return done
 
 

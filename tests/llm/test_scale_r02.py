@@ -122,3 +122,22 @@ def test_forest_sample_is_filtered_before_it_is_sorted(spark):
     assert [r["v"] for r in sample.collect()] == plain
     assert "< -" in sample._jdf.queryExecution().optimizedPlan().toString()
     assert [r["v"] for r in rp_forest.least_hashed(vectors.limit(5), 5, 300).collect()] != []
+
+
+def test_elements_meet_without_the_differences_of_their_members(spark, monkeypatch):
+    """A row per element is narrow: no join puts a member's differences to each of its elements."""
+    rng, plans = random.Random(4), []
+    centre, common = [hash_(k) for k in range(100)], [hash_(1000 + k) for k in range(20)]
+    sets = {0: set(centre)} | {i: set(centre[:85]) | set(common) - {rng.choice(common)} | {hash_(5000 + i)} for i in range(1, 40)}
+    stash = links.stash
+
+    def watched(df, *, name="table"):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return stash(df, name=name)
+
+    monkeypatch.setattr(links, "stash", watched)
+    placed = spark.createDataFrame([(0, i, i, i != 0) for i in sets], "center long, id long, own long, apart boolean")
+    pairs = links.beyond_centers(placed, spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, s array<long>"), 85)
+    met = [p for name, p in plans if name == "met"] + [pairs._jdf.queryExecution().optimizedPlan().toString()]
+    assert len(met) > 1 and not any("LeftOuter" in p or "miss#" in p for p in met)
+    assert {x for p in pairs.collect() for x in (p["a"], p["b"])} == set(range(1, 40))
